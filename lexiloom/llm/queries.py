@@ -1,6 +1,10 @@
 """The operators applied to their whole tables, and their SQL where it can be written."""
 
-from . import syncmers
+from . import packing, rangecoder, syncmers
 
-QUERIES = {"op1_syncmers": syncmers.query}
+QUERIES = {
+    "op1_syncmers": syncmers.query,
+    "op9_rangecoder": rangecoder.query,
+    "op10_packing": packing.query,
+}
 SQL = {"op1_syncmers": syncmers.sql()}
