@@ -1,9 +1,11 @@
 """The operators applied to their whole tables, and their SQL where it can be written."""
 
-from . import packing, rangecoder, syncmers
+from . import packing, quality, rangecoder, syncmers, toxicity
 
 QUERIES = {
     "op1_syncmers": syncmers.query,
+    "op2_toxicity": toxicity.query,
+    "op5_quality": quality.query,
     "op9_rangecoder": rangecoder.query,
     "op10_packing": packing.query,
 }
