@@ -1,11 +1,13 @@
 """The operators applied to their whole tables, and their SQL where it can be written."""
 
-from . import packing, quality, rangecoder, syncmers, toxicity
+from . import langid, packing, quality, rangecoder, simhash, syncmers, toxicity
 
 QUERIES = {
     "op1_syncmers": syncmers.query,
     "op2_toxicity": toxicity.query,
+    "op4_simhash": simhash.query,
     "op5_quality": quality.query,
+    "op8_langid": langid.query,
     "op9_rangecoder": rangecoder.query,
     "op10_packing": packing.query,
 }
