@@ -1,14 +1,15 @@
 """The operators applied to their whole tables, and their SQL where it can be written."""
 
-from . import langid, packing, quality, rangecoder, simhash, syncmers, toxicity
+from . import langid, packing, quality, rangecoder, simhash, suffixes, syncmers, toxicity
 
 QUERIES = {
     "op1_syncmers": syncmers.query,
     "op2_toxicity": toxicity.query,
+    "op3_suffixes": suffixes.query,
     "op4_simhash": simhash.query,
     "op5_quality": quality.query,
     "op8_langid": langid.query,
     "op9_rangecoder": rangecoder.query,
     "op10_packing": packing.query,
 }
-SQL = {"op1_syncmers": syncmers.sql()}
+SQL = {"op1_syncmers": syncmers.sql(), "op3_suffixes": suffixes.sql()}
