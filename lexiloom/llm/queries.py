@@ -1,6 +1,6 @@
 """The operators applied to their whole tables, and their SQL where it can be written."""
 
-from . import langid, packing, quality, rangecoder, simhash, suffixes, syncmers, toxicity
+from . import decontamination, langid, packing, quality, rangecoder, simhash, suffixes, syncmers, toxicity
 
 QUERIES = {
     "op1_syncmers": syncmers.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_suffixes": suffixes.query,
     "op4_simhash": simhash.query,
     "op5_quality": quality.query,
+    "op7_decontamination": decontamination.query,
     "op8_langid": langid.query,
     "op9_rangecoder": rangecoder.query,
     "op10_packing": packing.query,
