@@ -10,15 +10,13 @@ assigns the rest to batches. All stages but the last return the columns of
 repeated rows and empty tables are treated as each operator says.
 """
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import decontamination, langid, packing, simhash, suffixes
-from lexiloom.llm._text import read
+from lexiloom.llm._text import read, shared_folder
 
 #: SQL can't express the stages' models and hashes; they are tested by brute force.
 ORACLE_SQL = None
@@ -60,8 +58,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; what each returns is written as Parquet in the cluster's shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lexiloom-")
-    folder = os.path.join(folder, f"pipeline-{uuid.uuid4().hex}")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")

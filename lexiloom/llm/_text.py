@@ -12,6 +12,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,12 +125,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the cluster names, or a temporary one in local mode alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="lexiloom-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the folder that the cluster names."""
+    """Cuts the lineage by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexiloom-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -157,3 +167,60 @@ def usable(docs: DataFrame, *columns: str) -> DataFrame:
     for c in columns:
         out = out.filter(F.col(c).isNotNull())
     return out
+
+
+def pack(columns: list[np.ndarray], deltas: tuple[bool, ...]) -> bytes:
+    """Columns of 8-byte integers as compressed bytes: differences where asked for, byte planes, zstandard."""
+    planes = []
+    for c, delta in zip(columns, deltas):
+        c = c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)
+        c = np.diff(c, prepend=np.int64(0)) if delta else c
+        c = (c << np.int64(1)) ^ (c >> np.int64(63)) if delta else c  # signs to the last bit
+        planes.append(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(blob: bytes, deltas: tuple[bool, ...]) -> list[np.ndarray]:
+    """The columns that ``pack`` was given, as int64."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n = len(raw) // (8 * len(deltas))
+    out = []
+    for k, delta in enumerate(deltas):
+        c = np.ascontiguousarray(raw[8 * n * k : 8 * n * (k + 1)].reshape(8, n).T).view(np.int64).ravel()
+        if delta:
+            c = ((c >> np.int64(1)) & np.int64((1 << 63) - 1)) ^ -(c & np.int64(1))
+            c = np.cumsum(c)
+        out.append(c)
+    return out
+
+
+def bucketed(bucket: np.ndarray, columns: list[np.ndarray], deltas: tuple[bool, ...]) -> pa.RecordBatch:
+    """Rows ``(bucket, data)``: the columns' rows of each bucket packed together, in the order they come."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    data = [pack([c[order[a:b]] for c in columns], deltas) for a, b in zip(first, np.append(first[1:], len(bucket)))]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "data"])
+
+
+BUCKETED = "bucket int, data binary"
+
+
+def gathered(batches, deltas: tuple[bool, ...]) -> list[np.ndarray] | None:
+    """All columns of the packed rows of a partition; None if there are none."""
+    parts = [unpack(x.as_py(), deltas) for b in batches for x in b.column(1)]
+    return [np.concatenate(c) for c in zip(*parts)] if parts else None
+
+
+def flushed(parts, rows: int = 1 << 20):
+    """Joins small groups of columns to groups of about ``rows`` rows."""
+    held, n = [], 0
+    for p in parts:
+        if len(p[0]):
+            held.append(p)
+            n += len(p[0])
+        if n >= rows:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, n = [], 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]

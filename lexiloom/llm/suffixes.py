@@ -15,9 +15,11 @@ sending, all suffixes:
 * Suffixes none of whose sample places within 31 words has a tied rank cannot
   tie to the depth; they are resolved by the sample and go no further.
 * Blocks. The others are sent to buckets by the fingerprint of their ``DEPTH``
-  words. Each task sorts its buckets and reads them once in order, holding one
-  suffix and the head of its tie at a time, so that a tie of any length needs
-  no memory.
+  words, and each task sorts one bucket. The number of buckets follows
+  ``spark.sql.shuffle.partitions``, which bounds a bucket's memory.
+
+Suffixes travel in packed columns, and texts compressed, as the exchanges are
+what the work is bound by.
 
 All fingerprints have 64 bits. In a tie the occurrence of the least (doc_id,
 text hash, place) is the original, the others are copies. The words of
@@ -35,6 +37,7 @@ no rows. Other columns are ignored (``deduplicate`` keeps them).
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,146 +68,138 @@ def _named(docs: DataFrame) -> DataFrame:
     return whole.select("doc_id", F.xxhash64("text").alias("rid"), "text")
 
 
+def _bucket(x: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of ``n`` by the upper bits of fingerprints."""
+    return ((x >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return part.column(0).to_numpy(), part.column(1).to_numpy()
+
+
 def tied_places(docs: DataFrame, depth: int) -> DataFrame:
-    """``(doc_id, rid, places)``: the sample places of each text whose rank another place shares."""
+    """``(doc_id, rid, places)``: sample places of each text whose rank another place shares."""
     inside = np.zeros(PERIOD, bool)
     inside[list(COVER)] = True
+    n = 2 * X.partitions(docs.sparkSession)
+    deltas = (False, True, True, True)
 
-    def sample(batches):
+    def ranks(batches):
         for part in X.slices(batches):
             h, _, _, doc, place, size = _words(part, 2)
             at, rank = _prints(h, doc, place, size, depth - PERIOD + 1)
             keep = inside[place[at] % PERIOD]
             at, rank = at[keep], rank[keep]
-            row = pa.array(doc[at])
-            yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), part.column(0).take(row), part.column(1).take(row), pa.array(place[at].astype(np.int32))], ["rank", "doc_id", "rid", "place"])
+            d, r = _ids(part)
+            yield rank, d[doc[at]], r[doc[at]], place[at]
+
+    def sample(batches):
+        for c in X.flushed(ranks(batches)):
+            yield X.bucketed(_bucket(c[0], n), c, deltas)
 
     def ties(batches):
-        """Rows of ranks that occur more than once, from rows sorted by rank."""
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            r = batch.column(0).to_numpy()
-            same = np.zeros(len(r) + 1, bool)
-            same[1:-1] = r[1:] == r[:-1]
-            # the last row waits for the next batch, and so does the one before it if they are tied
-            keep = same[:-1] | same[1:]
-            wait = max(0, len(r) - (2 if len(r) > 1 and same[len(r) - 1] else 1))
-            if wait:
-                yield batch.slice(0, wait).filter(pa.array(keep[:wait])).select([1, 2, 3])
-            held = batch.slice(wait)
-        if held is not None and held.num_rows == 2:
-            yield held.select([1, 2, 3])
-
-    rows = docs.mapInArrow(sample, "rank long, doc_id long, rid long, place int")
-    n = 2 * X.partitions(docs.sparkSession)
-    tied = rows.repartition(n, "rank").sortWithinPartitions("rank").mapInArrow(ties, "doc_id long, rid long, place int")
-    return tied.groupBy("doc_id", "rid").agg(F.collect_list("place").alias("places"))
+        c = X.gathered(batches, deltas)
+        if c is None:
+            return
+        rank = np.sort(c[0])
+        twice = np.unique(rank[1:][rank[1:] == rank[:-1]])
+        i = np.searchsorted(twice, c[0])
+        i[i == len(twice)] = 0
+        tied = np.flatnonzero(twice[i] == c[0]) if len(twice) else np.zeros(0, np.int64)
+        _, doc, rid, place = (x[tied] for x in c)
+        order = np.lexsort((place, rid, doc))
+        doc, rid, place = doc[order], rid[order], place[order]
+        new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1]))) if len(doc) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(rid[new]), pa.ListArray.from_arrays(pa.array(np.append(new, len(doc)), pa.int32()), pa.array(place.astype(np.int32)))], ["doc_id", "rid", "places"])
+
+    tied = docs.mapInArrow(sample, X.BUCKETED).repartitionById(n, F.col("bucket")).mapInArrow(ties, "doc_id long, rid long, places array<int>")
+    return tied.groupBy("doc_id", "rid").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
-def tied_suffixes(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``(doc_id, rid, place, start, stop, copy, first_id)`` of every suffix that ties with another to the depth."""
+def _spans(docs: DataFrame, depth: int) -> DataFrame:
+    """Rows of SPANS."""
+    n = 2 * X.partitions(docs.sparkSession)
     own = _named(docs)
+    #: fingerprint, doc_id, text hash, place, first character, last character
+    sent = (False, True, True, True, True, True)
+    #: doc_id, text hash, place, first character, last character, copy, first_id
+    back = (True, True, True, True, True, True, True)
 
-    def candidates(batches):
+    def squeezed(batches):
         for part in X.slices(batches):
+            z = zstandard.ZstdCompressor(level=1)
+            text = pa.array([z.compress(t.encode("utf-8", "surrogatepass")) for t in part.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), text], ["doc_id", "rid", "text"])
+
+    def opened(batches):
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            held, chars, a = [], 0, 0
+            for i, t in enumerate(batch.column(2)):
+                held.append(z.decompress(t.as_py()).decode("utf-8", "surrogatepass"))
+                chars += len(held[-1])
+                if chars >= X.CHARS or i + 1 == batch.num_rows:
+                    part = batch.slice(a, len(held))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(held, pa.string()), part.column(3)], ["doc_id", "rid", "text", "places"])
+                    held, chars, a = [], 0, i + 1
+
+    def candidates(batches):
+        for part in opened(batches):
             h, start, end, doc, place, size = _words(part, 2)
             at, key = _prints(h, doc, place, size, depth)
             if not len(at):
                 continue
             places = part.column(3)
             counts = np.diff(places.offsets.to_numpy())
-            flat = places.flatten().to_numpy()
             mark = np.zeros(len(h) + 1, np.int32)
             first = np.searchsorted(doc, np.arange(part.num_rows))
-            mark[1:][np.repeat(first, counts) + flat] = 1
+            mark[1:][np.repeat(first, counts) + places.flatten().to_numpy()] = 1
             seen = np.cumsum(mark)
             keep = seen[np.minimum(at + PERIOD, len(h))] > seen[at]
             at, key = at[keep], key[keep]
-            row = pa.array(doc[at])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(row), part.column(1).take(row), pa.array(place[at].astype(np.int32)), pa.array(start[at].astype(np.int32)), pa.array(end[at + depth - 1].astype(np.int32))], ["key", "doc_id", "rid", "place", "start", "stop"])
-
-    def ties(batches):
-        """Marks originals and copies in rows sorted by key, doc_id, rid and place."""
-        held, head = None, None  # the last row, and (key, doc_id) of its tie with what came before
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            key, doc, rid, place = (batch.column(i).to_numpy() for i in range(4))
-            again = np.zeros(len(key), bool)  # the same row once more
-            again[1:] = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1]) & (rid[1:] == rid[:-1]) & (place[1:] == place[:-1])
-            if again.any():
-                batch = batch.filter(pa.array(~again))
-                key, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            n = len(key)
-            new = np.ones(n, bool)
-            new[1:] = key[1:] != key[:-1]
-            begin = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-            first = doc[begin]
-            if head is not None and head[0] == key[0]:
-                mine = begin == 0
-                first = np.where(mine, head[1], first)
-                new[0] = False
-            follow = np.append(~new[1:], False)
-            yield _marked(batch.slice(0, n - 1), new[:-1], follow[:-1], first[:-1])
-            held = batch.slice(n - 1)
-            head = None if new[-1] else (int(key[-1]), int(first[-1]))
-        if held is not None and head is not None:
-            yield _marked(held, np.zeros(1, bool), np.zeros(1, bool), np.array([head[1]]))
-
-    joined = own.join(tied_places(own, depth), ["doc_id", "rid"])
-    rows = joined.mapInArrow(candidates, "key long, doc_id long, rid long, place int, start int, stop int")
-    n = 2 * X.partitions(docs.sparkSession)
-    return rows.repartition(n, "key").sortWithinPartitions("key", "doc_id", "rid", "place").mapInArrow(ties, "doc_id long, rid long, place int, start int, stop int, copy int, first_id long")
+            d, r = _ids(part)
+            yield key, d[doc[at]], r[doc[at]], place[at], start[at], end[at + depth - 1]
 
+    def suffixes(batches):
+        for c in X.flushed(candidates(batches)):
+            yield X.bucketed(_bucket(c[0], n), c, sent)
 
-def _marked(batch: pa.RecordBatch, new: np.ndarray, follow: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
-    keep = np.flatnonzero(~new | follow)
-    some = batch.take(pa.array(keep))
-    return pa.RecordBatch.from_arrays([*(some.column(i) for i in range(1, 6)), pa.array((~new[keep]).astype(np.int32)), pa.array(first[keep])], ["doc_id", "rid", "place", "start", "stop", "copy", "first_id"])
-
+    def ties(batches):
+        """Sorts a bucket of suffixes and marks the originals and copies of its ties."""
+        c = X.gathered(batches, sent)
+        if c is None:
+            return
+        order = np.lexsort((c[3], c[2], c[1], c[0]))
+        key, doc, rid, place, start, stop = (x[order] for x in c)
+        same = np.append(False, key[1:] == key[:-1])
+        again = same & np.append(False, (doc[1:] == doc[:-1]) & (rid[1:] == rid[:-1]) & (place[1:] == place[:-1]))  # the same row once more
+        key, doc, rid, place, start, stop = (x[~again] for x in (key, doc, rid, place, start, stop))
+        if not len(key):
+            return
+        copy = np.append(False, key[1:] == key[:-1])
+        first = doc[np.maximum.accumulate(np.where(copy, 0, np.arange(len(key))))]
+        keep = copy | np.append(copy[1:], False)
+        out = [x[keep] for x in (doc, rid, place, start, stop, copy.astype(np.int64), first)]
+        order = np.lexsort((out[2], out[1], out[0]))
+        out = [x[order] for x in out]
+        yield X.bucketed(_bucket(X.mix64((out[0] ^ out[1]).view(np.uint64)), n), out, back)
 
-def _spans(docs: DataFrame, depth: int) -> DataFrame:
     def islands(batches):
-        """Joins suffixes whose words overlap or touch, in rows sorted by text, kind and place."""
-        held = None  # (doc_id, rid, copy, place, last place, start, stop, first_id)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = {n: batch.column(n).to_numpy() for n in ("doc_id", "rid", "copy", "place", "start", "stop", "first_id")}
-            n = batch.num_rows
-            new = np.ones(n, bool)
-            new[1:] = (c["doc_id"][1:] != c["doc_id"][:-1]) | (c["rid"][1:] != c["rid"][:-1]) | (c["copy"][1:] != c["copy"][:-1]) | (c["place"][1:] > c["place"][:-1] + depth)
-            if held is not None and held[:3] == (c["doc_id"][0], c["rid"][0], c["copy"][0]) and c["place"][0] <= held[4] + depth:
-                new[0] = False
-            a = np.flatnonzero(new)
-            b = np.append(a[1:], n) - 1
-            out = []
-            if not new[0]:
-                e = (a[0] if len(a) else n) - 1
-                held = (*held[:4], c["place"][e], held[5], c["stop"][e], held[7])
-            if len(a):
-                if held is not None:
-                    out.append(held)
-                rows = zip(*(c[k][i].tolist() for k, i in (("doc_id", a), ("rid", a), ("copy", a), ("place", a), ("place", b), ("start", a), ("stop", b), ("first_id", a))))
-                out += rows
-                held = out.pop()
-            if out:
-                yield made(out)
-        if held is not None:
-            yield made([held])
-
-    def made(rows):
-        d, r, c, p, q, s, e, f = (np.array(x) for x in zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(r), *(pa.array(x.astype(np.int32)) for x in (s, e, q - p + depth, c)), pa.array(f)], ["doc_id", "rid", "start", "stop", "n_words", "copy", "first_id"])
-
-    rows = tied_suffixes(docs, depth)
-    return rows.repartition(X.partitions(docs.sparkSession), "doc_id", "rid").sortWithinPartitions("doc_id", "rid", "copy", "place").mapInArrow(islands, SPANS)
+        """Joins suffixes whose words overlap or touch."""
+        c = X.gathered(batches, back)
+        if c is None:
+            return
+        order = np.lexsort((c[2], c[5], c[1], c[0]))
+        doc, rid, place, start, stop, copy, first = (x[order] for x in c)
+        new = np.append(True, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1]) | (copy[1:] != copy[:-1]) | (place[1:] > place[:-1] + depth))
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(new)) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(rid[a]), *(pa.array(x.astype(np.int32)) for x in (start[a], stop[b], place[b] - place[a] + depth, copy[a])), pa.array(first[a])], ["doc_id", "rid", "start", "stop", "n_words", "copy", "first_id"])
+
+    texts = own.mapInArrow(squeezed, "doc_id long, rid long, text binary")
+    rows = texts.join(tied_places(own, depth), ["doc_id", "rid"]).select("doc_id", "rid", "text", "places").mapInArrow(suffixes, X.BUCKETED)
+    found = rows.repartitionById(n, F.col("bucket")).mapInArrow(ties, X.BUCKETED)
+    return found.repartitionById(n, F.col("bucket")).mapInArrow(islands, SPANS)
 
 
 def repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
