@@ -48,6 +48,8 @@ SCALE = np.e**4
 MARK = 0x2581
 #: Distinct words that a worker remembers before it starts anew.
 REMEMBERED = 1_500_000
+#: Words whose lattices are worked on together.
+PORTION = 20_000
 B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,7 +121,7 @@ def lattice(words: list[np.ndarray] | tuple[np.ndarray, np.ndarray, np.ndarray],
     step = np.zeros(int((n + 1).sum()), np.int16)
     step[:] = np.arange(len(step)) - np.repeat(first, n + 1)
     order = np.argsort(step[end].astype(np.int64) << 40 | end, kind="stable")
-    start, end, piece = start[order], end[order], piece[order]
+    start, end, piece = (v[order].astype(np.int32) for v in (start, end, piece))
     return Lattice(start, end, piece, first, first + n, np.searchsorted(step[end], np.arange(int(n.max(initial=0)) + 2)))
 
 
@@ -189,7 +191,7 @@ class Model:
         fresh = np.flatnonzero(new)
         if len(fresh):
             own = []
-            for part in np.array_split(where[fresh], -(-len(fresh) // 50_000)):
+            for part in np.array_split(where[fresh], -(-len(fresh) // PORTION)):
                 x = lattice((codes, a[part], b[part]), self.keys)
                 n = b[part] - a[part] + 1
                 own.append(np.log(forward(x, self.p)[x.last]) - np.log(SCALE) * n[:, None])
@@ -234,11 +236,13 @@ def fit(rows: list[tuple[str, str]], path: str = VOCABULARY) -> Model:
     weight = np.bincount(back * len(langs) + own[doc], minlength=len(uniq) * len(langs)).reshape(len(uniq), len(langs)).astype(float)
     # scaled by length: the scale cancels where words are compared, and in the expectations
     size = np.ones(len(keys) + 1)
-    x = lattice((codes, a[where], b[where]), keys)
-    size[x.piece] = x.end - x.start
+    parts = np.array_split(np.arange(len(where)), -(-len(where) // PORTION))
+    lattices = [lattice((codes, a[where[i]], b[where[i]]), keys) for i in parts]
+    for x in lattices:
+        size[x.piece] = x.end - x.start
     for _ in range(ROUNDS):
         q = np.where(np.arange(len(p))[:, None] < len(keys), p, FLOOR) * SCALE ** size[:, None]
-        e = expected(x, q, weight)[:-1]
+        e = sum(expected(x, q, weight[i]) for x, i in zip(lattices, parts))[:-1]
         e = e / np.maximum(e.sum(0), 1e-300) + 1e-9
         e = (1 - MIXED) * e + MIXED * e.mean(1, keepdims=True)
         p[:-1] = e / e.sum(0)
