@@ -13,10 +13,12 @@ once. The distinct hashes are put into blocks, every pair of blocks is one
 piece of work, and within it tiles of hashes, ordered by their count of ones,
 are compared by numpy exclusive-or and bit counts; a pair of tiles whose counts
 of ones differ beyond the radius everywhere is skipped. The comparison is
-exact: no candidate search, no cap on partners. The number of blocks is at most
-``BLOCKS``, so the data are sent ``BLOCKS`` times at most, while the comparisons
-grow with the square of the distinct hashes. Each piece of work returns the
-edges of a spanning forest only, which has the same components.
+exact: no candidate search, no cap on partners. Every hash is sent once for
+each block, and there are only as many blocks as make two pieces of work for
+each of the cluster's shuffle partitions (more where a block would hold over
+``BLOCK`` hashes). The comparisons grow with the square of the distinct hashes.
+Each piece of work returns the edges of a spanning forest only, which has the
+same components.
 
 Null or empty texts and texts without word characters have no features and are
 never duplicates; rows with a null doc_id are left out. A repeated doc_id is
@@ -25,6 +27,8 @@ joins the groups of all its rows. An empty table gives no rows. Other columns
 are ignored (``deduplicate`` keeps them).
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +37,8 @@ from pyspark.sql import functions as F
 from . import _text as X
 
 RADIUS, RADIUS_ALL = 28, 52
-#: Hashes in a block while there are fewer than ``BLOCKS`` of them; rows and columns of a tile.
-BLOCK, BLOCKS, TILE, WIDE = 8192, 64, 32, 4096
+#: The most hashes in a block, which bounds the memory of a task; rows and columns of a tile.
+BLOCK, TILE, WIDE = 1 << 22, 32, 4096
 WORDS = 4
 SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -158,13 +162,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def groups(docs: DataFrame, block: int = BLOCK, blocks: int = BLOCKS) -> DataFrame:
+def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(doc_id, group_id, keep)`` of every document that has a near-duplicate; ``group_id`` is the least doc_id of the group."""
     spark = docs.sparkSession
     sig = X.cut(signatures(docs))
     same = X.cut(sig.groupBy("h0", "h1", "h2", "h3").agg(F.min("doc_id").alias("rep")))
     n = same.count()
-    k = max(1, min(blocks, -(-n // block)))
+    k = max(1, math.isqrt(4 * X.partitions(spark)), -(-n // block))
     # each hash goes to its block's pairs with all blocks
     put = same.withColumn("b", F.pmod(F.xxhash64("h0", "h1", "h2", "h3"), F.lit(k)).cast("int"))
     pairs = put.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("o")).select(F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "rep", "h0", "h1", "h2", "h3")
