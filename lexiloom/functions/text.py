@@ -9,7 +9,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"(?U)\s+"
+#: Unicode's white space, spelt out: the flag for Unicode classes makes a split several times slower.
+SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: What is taken off the front and the end of a word by ``tokenize``.
 OPENING, CLOSING = r'(^|\s)(["(\[{]+)', r'([.,;:!?")\]}]+)(\s|\z)'
 

@@ -79,6 +79,24 @@ def static_features(tokens: DataFrame, *keys: str) -> DataFrame:
     return t.select(*keys, "pos", F.explode(F.array(*[F.concat(F.lit(f"{n}="), c) for n, c in named])).alias("feature"), F.lit(1).alias("value"))
 
 
+def sentence_features(sentences: DataFrame, *keys: str, tokens: str = "tokens") -> DataFrame:
+    """``static_features`` of rows with token arrays, whose neighbours need no exchange."""
+    all_, n = F.col(tokens), F.size(tokens)
+    first, second = (F.lit(x) for x in PADDING[0])
+    end, end2 = (F.lit(x) for x in PADDING[1])
+
+    def of(t: Column, i: Column) -> Column:
+        p1 = F.coalesce(F.get(all_, i - 1), second)
+        p2 = F.coalesce(F.get(all_, i - 2), F.when(i == 1, second).otherwise(first))
+        n1 = F.coalesce(F.get(all_, i + 1), end)
+        n2 = F.coalesce(F.get(all_, i + 2), F.when(i + 2 == n, end).otherwise(end2))
+        named = [("bias", F.lit("")), ("suf", X.suffix(t)), ("pre", X.prefix(t)), ("w", t), ("p1w", p1), ("p1suf", X.suffix(p1)), ("p2w", p2), ("n1w", n1), ("n1suf", X.suffix(n1)), ("n2w", n2)]
+        return F.array(*[F.concat(F.lit(f"{name}="), c) for name, c in named])
+
+    rows = sentences.select(*keys, F.posexplode(F.transform(all_, of)).alias("pos", "_f"))
+    return rows.select(*keys, "pos", F.explode("_f").alias("feature"), F.lit(1).alias("value"))
+
+
 def fixed_features(tokens: list[str]) -> list[list[str]]:
     """The ten features of each token as ``static_features`` has them."""
     c = [*PADDING[0], *tokens, *PADDING[1]]

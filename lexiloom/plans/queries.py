@@ -37,7 +37,9 @@ def values(rows: list[tuple], names: str) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """The table; of fewer files than cores, whose row groups can't be split, the rows are spread over all cores."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def query(name: str, sql: str | None = None):
@@ -70,9 +72,12 @@ def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.sentence_rows(read(spark, sf_dir, "documents"))
 
 
+def token_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_rows(spark, sf_dir).select(*PLACE, X.tokenize("sentence").alias("tokens"))
+
+
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentence_rows(spark, sf_dir).select(*PLACE, X.tokenize("sentence").alias("tokens"))
-    return G.token_rows(rows, "tokens", *PLACE)
+    return G.token_rows(token_arrays(spark, sf_dir), "tokens", *PLACE)
 
 
 def form_tag(token: str | Column = "token") -> Column:
@@ -465,7 +470,7 @@ nf AS (SELECT doc_id, sent_id, pos, unnest(['bias=', 'suf=' || right(token, 3),
 
 @query("pos_static_features", BASE + NEAR + " SELECT feature, count(*) AS n FROM nf GROUP BY feature")
 def _(spark, d):
-    return n_by(G.static_features(token_rows(spark, d), *PLACE), "feature")
+    return n_by(G.sentence_features(token_arrays(spark, d), *PLACE), "feature")
 
 
 @query(
@@ -474,7 +479,7 @@ def _(spark, d):
 )
 def _(spark, d):
     tokens = token_rows(spark, d)
-    best = P.predict(G.static_features(tokens, *PLACE), spark.createDataFrame(TAG_WEIGHTS, P.WEIGHTS), *PLACE, "pos")
+    best = P.predict(G.sentence_features(token_arrays(spark, d), *PLACE), spark.createDataFrame(TAG_WEIGHTS, P.WEIGHTS), *PLACE, "pos")
     return n_by(best.join(tokens, [*PLACE, "pos"]), "token", "class")
 
 

@@ -216,6 +216,8 @@ def test_features_and_scores_agree(spark):
     for x in rows.collect():
         got.setdefault((x.s, x.pos), set()).add(x.feature)
     assert got == {(i, j): set(f) for i, s in enumerate(sents) for j, f in enumerate(G.fixed_features(s))}
+    arrays = spark.createDataFrame(list(enumerate(sents)), "s int, tokens array<string>")
+    assert sorted(map(tuple, G.sentence_features(arrays, "s").collect())) == sorted(map(tuple, rows.collect()))
     names = sorted({f for v in got.values() for f in v})
     p = P.Perceptron({f: {c: r.randint(-3, 3) / 4 for c in "xyz" if r.random() < 0.7} for f in names if r.random() < 0.5})
     best = {(x.s, x.pos): x["class"] for x in P.predict(rows, P.weights_of(spark, p), "s", "pos").collect()}
