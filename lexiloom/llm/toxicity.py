@@ -1,15 +1,18 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's terms are the distinct 64-bit hashes of its lower-cased words, each
-present or absent. The score is ``b + sum w_i + sum_{i<j} <v_i, v_j>`` over the
-terms that the model keeps, so a pair of terms (an insult beside the mention of
+present or absent. The score is ``b + sum w_i + sum_{i<j} <v_i, v_j>`` over all
+terms of the training sample, so a pair of terms (an insult beside the mention of
 a group) can weigh more, or less, than its parts; the probability is its
 logistic function.
 
 Training takes at most ``rows`` labelled documents (a bounded sample, the
 lowest key hashes), four fifths to fit and one fifth to choose the epoch and
-the threshold. Kept are terms that are common in the sample or that go with
-either class more than chance allows (``COMMON``, ``ODD``). The model's size is bounded by the sample, so it is sent to all tasks.
+the threshold. No term of the sample is left out, however rare; terms that are
+common, or that go with either class more than chance allows, alone or beside a
+toxic-leaning term, learn fast and the others slowly (``COMMON``, ``ODD``,
+``SLOW``), or else a document's hundreds of rare terms would learn it by heart.
+The model's size is bounded by the sample, so it is sent to all tasks.
 Scoring reads every document, whole.
 
 Null or empty text has no terms and scores the bias alone; rows with a null
@@ -30,8 +33,9 @@ from . import _text as X
 #: The most labelled rows that training takes.
 ROWS = 20000
 FACTORS, EPOCHS, RATE, L2 = 8, 30, 0.1, 2e-4
-#: A term of 5 documents or more is kept if it is in this share of them, or if its toxic share is this far (chi-squared) from the usual.
-COMMON, ODD = 0.02, 12.0
+#: A term of 5 documents or more learns at the full rate if it is in this share of them, or if its toxic share, alone or beside
+#: a toxic-leaning term, is this far (chi-squared) from the usual. All others learn too, at ``SLOW`` of the rate.
+COMMON, ODD, SLOW = 0.02, 12.0, 0.01
 
 
 @dataclass
@@ -69,10 +73,50 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], h[new]
 
 
+def sums(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of the neighbouring groups of these sizes."""
+    out = np.zeros(len(size))
+    full = size > 0
+    if len(x):
+        out[full] = np.add.reduceat(x, (np.cumsum(size) - size)[full])
+    return out
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
+def telling(row: np.ndarray, at: np.ndarray, count: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which terms are common, or go with a class alone, or do so beside a toxic-leaning term; ``row[at[d]:at[d + 1]]`` are document d's terms."""
+    n, p = len(y), y.mean()
+    size = np.diff(at)
+    gain = np.bincount(row, np.repeat(y, size), len(count)) - count * p
+    odd = gain**2 / (count * p * (1 - p))
+    often = count >= 5
+    out = often & ((count >= COMMON * n) | (odd >= ODD))
+    place = np.cumsum(often) - 1
+    few = often[row]
+    short, start = place[row[few]], np.append(0, np.cumsum(few))[at]
+    by_term = np.argsort(row, kind="stable")
+    owner = np.repeat(np.arange(n), size)[by_term]
+    first = np.append(0, np.cumsum(count))
+    lean = np.flatnonzero(often & (odd >= ODD) & (gain > 0))
+    least = ODD + 2 * np.log(max(1, len(lean) * int(often.sum())))  # so many pairs are looked at
+    beside = np.zeros(int(often.sum()))
+    for a in lean:
+        docs = owner[first[a] : first[a + 1]]
+        q = y[docs].mean()
+        if q < 1:
+            k = start[docs + 1] - start[docs]
+            i = short[np.repeat(start[docs] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+            m, hit = np.bincount(i, minlength=len(beside)), np.bincount(i[np.repeat(y[docs] > 0, k)], minlength=len(beside))
+            u = np.flatnonzero(m >= 5)
+            m, hit = m[u], hit[u]
+            beside[u] = np.maximum(beside[u], (hit - m * q) ** 2 / (m * q * (1 - q)))
+    out[often] |= beside >= least
+    return out
+
+
 def fit(doc: np.ndarray, key: np.ndarray, y: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = RATE, l2: float = L2, seed: int = 7) -> Model:
     """Fits by AdaGrad on mini-batches; ``doc`` indexes ``y``. Of documents with the same terms and class one counts."""
     mark = np.zeros(len(y), np.uint64)
@@ -86,50 +130,58 @@ def fit(doc: np.ndarray, key: np.ndarray, y: np.ndarray, factors: int = FACTORS,
     if n < 10 or y.min() == y.max():
         p = float(y.mean()) if n else 0.0
         return Model(np.zeros(0, np.uint64), float(np.log((p + 1e-9) / (1 - p + 1e-9))), np.zeros(0), np.zeros((0, factors)), np.inf)
-    keys, back, count = np.unique(key, return_inverse=True, return_counts=True)
-    p = y.mean()
-    odd = (np.bincount(back, y[doc], len(keys)) - count * p) ** 2 / (count * p * (1 - p))
-    keep = np.flatnonzero((count >= 5) & ((count >= COMMON * n) | (odd >= ODD)))
-    new = np.full(len(keys), -1, np.int64)
-    new[keep] = np.arange(len(keep))
-    row = new[back]
-    doc, row, keys = doc[row >= 0], row[row >= 0], keys[keep]
+    keys, row, count = np.unique(key, return_inverse=True, return_counts=True)
     order = np.argsort(doc, kind="stable")
-    doc, row = doc[order], row[order]
-    at = np.searchsorted(doc, np.arange(n + 1))
+    row = row[order].astype(np.int32)
+    at = np.searchsorted(doc[order], np.arange(n + 1))
+    del doc, key, order
+    part = np.where(telling(row, at, count, y), 1.0, SLOW)
+    pace = rate * part
     r = np.random.default_rng(seed)
-    held = np.arange(n) % 5 == 4
-    own = np.flatnonzero(~held)
+    held = np.flatnonzero(np.arange(n) % 5 == 4)
+    own = np.flatnonzero(np.arange(n) % 5 != 4)
     p = y[own].mean()
-    m = Model(keys, float(np.log(p / (1 - p))), np.zeros(len(keys)), r.normal(0, 0.01, (len(keys), factors)))
+    m = Model(keys, float(np.log(p / (1 - p))), np.zeros(len(keys)), r.normal(0, 0.01, (len(keys), factors)) * part[:, None])
     gw, gv, gb = np.full(len(keys), 1e-6), np.full((len(keys), factors), 1e-6), 1e-6
-    best = (np.inf, None)
+
+    def batch(part):
+        """Classes, terms and, by document, their places in the terms; documents by term."""
+        size = at[part + 1] - at[part]
+        u, c = np.unique(row[np.repeat(at[part] - np.cumsum(size) + size, size) + np.arange(size.sum())], return_inverse=True)
+        back = np.repeat(np.arange(len(part), dtype=np.int32), size)[np.argsort(c, kind="stable")]
+        return y[part], size, u, c.astype(np.int32), back, np.bincount(c, minlength=len(u))
+
+    def forward(size, c, w, v):
+        s = np.stack([sums(x[c], size) for x in v])
+        return s, m.bias + sums((w - 0.5 * (v * v).sum(0))[c], size) + 0.5 * (s * s).sum(0)
+
+    batches = [batch(x) for x in np.array_split(r.permutation(own), max(1, len(own) // 256))]
+    apart = batch(held)
+    del row, at
+    best = (np.inf,)
     for _ in range(epochs):
-        for part in np.array_split(r.permutation(own), max(1, len(own) // 256)):
-            size = at[part + 1] - at[part]
-            i = row[np.repeat(at[part] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-            d = np.repeat(np.arange(len(part)), size)
-            s = np.stack([np.bincount(d, m.v[i, f], len(part)) for f in range(factors)], 1)
-            z = m.bias + np.bincount(d, m.w[i], len(part)) + 0.5 * (s**2 - np.stack([np.bincount(d, m.v[i, f] ** 2, len(part)) for f in range(factors)], 1)).sum(1)
-            err = (sigmoid(z) - y[part]) / len(part)
-            u, c = np.unique(i, return_inverse=True)
-            dw = np.bincount(c, err[d], len(u)) + l2 * m.w[u]
+        for b in r.permutation(len(batches)):
+            truth, size, u, c, back, uses = batches[b]
+            w, v = m.w[u], np.ascontiguousarray(m.v[u].T)
+            s, z = forward(size, c, w, v)
+            err = (sigmoid(z) - truth) / len(truth)
+            dw = sums(err[back], uses)
+            dv = np.stack([sums(x[back], uses) for x in err * s], 1) + (l2 - dw[:, None]) * v.T
+            dw += l2 * w
             gw[u] += dw * dw
-            m.w[u] -= rate * dw / np.sqrt(gw[u])
-            for f in range(factors):
-                dv = np.bincount(c, err[d] * (s[d, f] - m.v[i, f]), len(u)) + l2 * m.v[u, f]
-                gv[u, f] += dv * dv
-                m.v[u, f] -= 0.2 * rate * dv / np.sqrt(gv[u, f])
+            m.w[u] = w - pace[u] * dw / np.sqrt(gw[u])
+            gv[u] += dv * dv
+            m.v[u] = v.T - 0.2 * pace[u, None] * dv / np.sqrt(gv[u])
             db = err.sum()
             gb += db * db
             m.bias -= rate * db / np.sqrt(gb)
-        z = m._of(doc, row, n)[held]
-        loss = float(np.mean(np.logaddexp(0, z) - y[held] * z))
+        truth, size, u, c, *_ = apart
+        z = forward(size, c, m.w[u], np.ascontiguousarray(m.v[u].T))[1]
+        loss = float(np.mean(np.logaddexp(0, z) - truth * z))
         if loss < best[0]:
-            best = (loss, Model(keys, m.bias, m.w.copy(), m.v.copy()))
-    m = best[1]
-    m.threshold = cut_point(m._of(doc, row, n)[held], y[held])
-    return m
+            best = (loss, z, Model(keys, m.bias, m.w.copy(), m.v.copy()))
+    best[2].threshold = cut_point(best[1], truth)
+    return best[2]
 
 
 def cut_point(score: np.ndarray, y: np.ndarray) -> float:
@@ -157,8 +209,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     got = joined.mapInArrow(run, "doc_id long, toxic int, terms array<long>").toArrow().combine_chunks().sort_by("doc_id")
     lists = got.column("terms").combine_chunks()
     size = np.array([len(x) for x in lists], np.int64)
-    key = np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in lists]).view(np.uint64) if len(size) else np.zeros(0, np.uint64)
-    return fit(np.repeat(np.arange(len(size)), size), key, got.column("toxic").to_numpy().astype(float))
+    y = got.column("toxic").to_numpy().astype(float)
+    parts = [np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in lists]).view(np.uint64) if len(size) else np.zeros(0, np.uint64)]
+    del got, lists
+    return fit(np.repeat(np.arange(len(size)), size), parts.pop(), y)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

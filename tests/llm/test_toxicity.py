@@ -29,6 +29,30 @@ def test_pairs_are_learned():
     assert m.v[i[0]] @ m.v[i[1]] > 0.5  # it is the interaction that decides
 
 
+def rare(n, seed):
+    """Texts in which a group in one of fifty is neutral alone, and toxic beside an insult that is toxic in one of five otherwise."""
+    r = random.Random(seed)
+    texts, y = [], []
+    for i in range(n):
+        group = r.random() < 0.02
+        insult = r.random() < (0.1 if group else 0.5)
+        w = r.sample([f"w{i}" for i in range(60)], 12) + ["Rotten"] * insult + ["gruppo"] * group + [f"only{i}"]
+        r.shuffle(w)
+        texts.append(" ".join(w))
+        y.append(float(insult and (group or r.random() < 0.2)))
+    return texts, np.array(y)
+
+
+def test_rare_neutral_terms_are_learned_in_pairs():
+    texts, y = rare(12000, 5)
+    doc, key = T.terms(texts)
+    m = T.fit(doc, key, y)
+    assert len(m.keys) == len(np.unique(key))  # no term is dropped
+    cases = [f"{w} w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12" for w in ("rotten gruppo", "rotten", "gruppo", "")]
+    p = T.sigmoid(m.scores(*T.terms(cases), 4))
+    assert p[0] > 0.5 > p[1] and p[2] < 0.1 and p[3] < 0.1, p
+
+
 def test_score_is_the_definition():
     texts, y = made(300, 3)
     m = T.fit(*T.terms(texts), y)
