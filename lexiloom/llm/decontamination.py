@@ -1,9 +1,13 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
 Texts and benchmark items are normalised (lower case; every run of other than
-letters and digits is one space). An item is searched in pieces of ``PIECE``
-characters that overlap by half, a shorter item whole. A piece of length m is
-found in a document if some stretch of the document is within an edit distance
+letters and digits is one space). An item of at most ``WHOLE`` characters is
+searched whole; a longer one in pieces of ``PIECE`` characters, one at every
+``STRIDE``, so that every excerpt of ``PASSAGE`` characters or more, wherever it
+begins, holds a whole piece. Such an item of at most ``LONG`` characters is
+searched whole too, as a piece allows fewer edits than the whole; a stretch of
+``LONG`` characters of a longer one that begins at a multiple of ``PIECE``, or is
+its last, is two neighbouring pieces, one of which has at most half of the edits. A piece of length m is found in a document if some stretch of the document is within an edit distance
 of ``e = min(floor(BUDGET * m), (m - Q) // Q)`` of it.
 
 * Filter. By the q-gram lemma such a stretch shares at least ``m - Q + 1 - Q * e``
@@ -37,7 +41,9 @@ from pyspark.sql import functions as F
 
 from . import _text as X
 
-Q, BUDGET, PIECE, PORTION = 12, 0.06, 128, 1 << 20
+Q, BUDGET, PIECE, STRIDE, WHOLE, LONG, PORTION = 12, 0.06, 64, 16, 100, 128, 1 << 20
+#: The least length of an excerpt that is always found, of items above WHOLE.
+PASSAGE = PIECE + STRIDE - 1
 FOUND = "doc_id long, item_id long, edits int, piece int"
 
 
@@ -77,6 +83,16 @@ def budget(m: int) -> int:
     return max(0, min(int(BUDGET * m), (m - Q) // Q))
 
 
+def spans(m: int) -> list[tuple[int, int]]:
+    """Where the pieces of an item of ``m`` characters begin and end."""
+    if m <= WHOLE:
+        return [(0, m)]
+    starts = {*range(0, m - PIECE, STRIDE), m - PIECE}
+    if m > LONG:
+        starts.add(m - 2 * PIECE)
+    return [(s, s + PIECE) for s in sorted(starts)] + ([(0, m)] if m <= LONG else [])
+
+
 @dataclass
 class Pieces:
     """Pieces of benchmark items, and an index of their q-grams."""
@@ -98,8 +114,7 @@ def index(items: list[tuple[int, str]]) -> list[Pieces]:
     for (item, _), a, b in zip(items, offs, offs[1:]):
         m = int(b - a)
         if m >= Q:
-            starts = [0] if m <= PIECE else sorted({*range(0, m - PIECE, PIECE // 2), m - PIECE})
-            cut += [(item, k, codes[a + s : a + s + PIECE] if m > PIECE else codes[a:b]) for k, s in enumerate(starts)]
+            cut += [(item, k, codes[a + s : a + e]) for k, (s, e) in enumerate(spans(m))]
     out, at = [], 0
     while at < len(cut):
         n, end = 0, at

@@ -110,3 +110,32 @@ def test_very_long(spark):
     df = spark.createDataFrame([(1, "word " * 60000 + item + " end" * 9), (2, "abc" * 50000), (3, item * 2000)], "doc_id long, text string")
     got = D.contaminated(df, spark.createDataFrame([(5, item), (6, item)], "item_id long, text string")).collect()
     assert sorted(tuple(g)[:3] for g in got) == [(1, 5, 0), (1, 6, 0), (3, 5, 0), (3, 6, 0)]
+
+
+def test_excerpts_at_all_offsets():
+    r = random.Random(9)
+    items = [plain(" ".join("".join(r.choice("abcdeo") for _ in range(r.randint(2, 8))) for _ in range(n))) for n in (22, 25, 45, 80)]
+    assert 100 < len(items[0]) and len(items[-1]) > 300
+    for item in items:
+        (x,) = D.index([(1, item)])
+        for size in (79, 100, 120):
+            cuts = [item[a : a + size] for a in range(len(item) - size + 1)]
+            codes, offs = X.flat([f"zzyx {c} xyzz" for c in cuts])
+            assert {d for d, *_ in D.find(codes, offs, x)} == set(range(len(cuts)))
+
+
+def test_edits_of_long_pieces_are_still_found():
+    r = random.Random(10)
+    for m in (110, 128, 131, 200, 250):
+        item = "".join(r.choice("abcdefgh") for _ in range(m))
+        (x,) = D.index([(1, item)])
+        size = min(m, 128)
+        for a in {*range(0, m - size, 64), m - size}:
+            docs = []
+            for _ in range(30):
+                t = list(item[a : a + size])
+                for i in r.sample(range(size), D.budget(size)):
+                    t[i] = "z"
+                docs.append("".join(t))
+            codes, offs = X.flat(docs)
+            assert {d for d, *_ in D.find(codes, offs, x)} == set(range(len(docs)))
