@@ -10,8 +10,7 @@ not seen, turns it into a calibrated probability of good quality.
 
 Training takes at most ``rows`` labelled documents (a bounded sample, the
 lowest key hashes): two thirds for the dictionaries, one third to calibrate,
-and from each at most ``SAMPLE`` bytes for a dictionary. The threshold is where
-the F1 of the bad class on the calibration rows is greatest, so that the many
+all of them whole. The threshold is where the F1 of the bad class on the calibration rows is greatest, so that the many
 good rows weigh against calling one of them bad.
 
 Null or empty text has difference 0; rows with a null doc_id are left out;
@@ -32,7 +31,7 @@ from . import _text as X
 
 #: The most labelled rows that training takes.
 ROWS = 8000
-PIECE, SAMPLE, DICTIONARY, LEVEL = 4096, 16384, 262144, 3
+PIECE, DICTIONARY, LEVEL = 4096, 262144, 3
 
 
 @dataclass
@@ -69,13 +68,13 @@ class Scorer:
 
 
 def dictionary(texts: list[str]) -> bytes:
-    """A trained dictionary, or the texts' own bytes where there are too few to train one."""
-    samples = [p for t in texts for p in cutter(t)[: SAMPLE // PIECE]]
+    """A trained dictionary, or the texts' own distinct pieces where there are too few to train one."""
+    samples = [p for t in texts for p in cutter(t)]
     size = min(DICTIONARY, sum(map(len, samples)) // 8)
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(samples)[-DICTIONARY:]
+        return b"".join(dict.fromkeys(samples))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:

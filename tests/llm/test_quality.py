@@ -43,3 +43,17 @@ def test_tables(spark):
     assert Q.score(docs, m).count() == len(rows) - 1 and Q.score(docs.limit(0), m).count() == 0
     none = Q.train(docs, labels.limit(0))
     assert {r.good for r in Q.score(docs, none).collect()} == {1}
+
+
+def test_dictionaries_hold_late_parts_of_long_texts(monkeypatch):
+    r = random.Random(5)
+    early, late = [[f"{a}{r.randrange(10**6)}" for _ in range(3000)] for a in ("early", "late")]
+    text = lambda: " ".join(r.choice(early) for _ in range(3000)) + " " + " ".join(r.choice(late) for _ in range(3000))
+    assert b"late" in Q.dictionary([text() for _ in range(40)])
+
+    def fails(*_):
+        raise zstandard.ZstdError("too few samples")
+
+    monkeypatch.setattr(zstandard, "train_dictionary", fails)
+    got = Q.dictionary(["first " + text() * 6, text()])
+    assert got.startswith(b"first") and b"late" in got and len(got) > Q.DICTIONARY
