@@ -79,20 +79,36 @@ def word_spans(codes: np.ndarray, offs: np.ndarray, kind: str = "alnum") -> tupl
     return start, end, np.searchsorted(offs, start, "right") - 1
 
 
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2^64."""
+    out = []
+    for b in (int(BASE), pow(int(BASE), -1, 1 << 64)):
+        p = np.full(n, b, np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p))
+    return tuple(out)
+
+
 def word_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, the same wherever the word stands."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    n = end - start
-    first = np.zeros(len(n), np.int64)
-    np.cumsum(n[:-1], out=first[1:])
-    total = int(first[-1] + n[-1])
-    inner = np.arange(total) - np.repeat(first, n)
-    chars = codes[np.repeat(start, n) + inner].astype(np.uint64) + np.uint64(1)
-    powers = np.ones(int(n.max()) + 1, np.uint64)
-    powers[1:] = BASE
-    powers = np.cumprod(powers)
-    return mix64(np.add.reduceat(chars * powers[inner], first))
+    """A 64-bit hash of each word, the same wherever the word stands; ``start`` ascends.
+
+    It is the word's polynomial in BASE, mixed: a difference of running sums,
+    moved to the word's own beginning by the inverse of BASE.
+    """
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        a = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, a + CHARS, "right")))  # so many words at a time as the tables are long
+        n = int(end[j - 1]) - a
+        up, down = _powers(max(CHARS, 1 << (n - 1).bit_length()))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((codes[a : a + n] + np.uint64(1)) * up[:n], out=total[1:])
+        s, e = start[i:j] - a, end[i:j] - a
+        out[i:j] = mix64((total[e] - total[s]) * down[np.minimum(s, len(down) - 1)])
+        i = j
+    return out
 
 
 def window_hashes(h: np.ndarray, n: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:

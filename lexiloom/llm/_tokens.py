@@ -9,6 +9,7 @@ import base64
 import functools
 import os
 import unicodedata
+from itertools import chain
 
 import numpy as np
 
@@ -21,6 +22,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Distinct pieces that a worker remembers before it starts anew.
 REMEMBERED = 1_500_000
+#: Bits of the slots of the nearer memory.
+SLOTS = 21
 
 
 @functools.cache
@@ -77,15 +80,30 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.ids, self.offs = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        #: the last piece seen of each slot, and its row: most pieces are found here
+        self.near, self.near_at = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS, np.int32)
 
     def _rows(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """For each piece, its row in what is remembered."""
         key = X.word_hashes(codes, start, end)
+        slot = (key >> np.uint64(64 - SLOTS)).astype(np.int32)
+        row = self.near_at[slot]
+        away = np.flatnonzero(self.near[slot] != key)
+        if len(away):
+            new = self._found(codes, start[away], end[away], key[away])
+            if new is None:  # all is forgotten: also what was found near
+                return self._rows(codes, start, end)
+            row[away] = new
+            self.near[slot[away]], self.near_at[slot[away]] = key[away], new
+        return row
+
+    def _found(self, codes, start, end, key) -> np.ndarray | None:
         uniq, where, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.keys) + len(uniq) > REMEMBERED:
+        if len(self.keys) and len(self.keys) + len(uniq) > REMEMBERED:
             self._forget()
+            return None
         i = np.searchsorted(self.keys, uniq)
         known = np.zeros(len(uniq), bool)
         inside = i < len(self.keys)
@@ -93,11 +111,11 @@ class Encoder:
         fresh = np.flatnonzero(~known)
         if len(fresh):
             encode = self.own._core_bpe.encode_single_piece
-            raw = codes.tobytes()
-            got = [encode(raw[4 * a : 4 * b].decode("utf-32-le", "surrogatepass").encode("utf-8", "replace")) for a, b in zip(start[where[fresh]].tolist(), end[where[fresh]].tolist())]
-            at = np.arange(len(fresh)) + len(self.offs) - 1
+            whole = codes.tobytes().decode("utf-32-le", "surrogatepass")
+            got = [encode(whole[a:b].encode("utf-8", "replace")) for a, b in zip(start[where[fresh]].tolist(), end[where[fresh]].tolist())]
+            at = (np.arange(len(fresh)) + len(self.offs) - 1).astype(np.int32)
             self.offs = np.concatenate([self.offs, self.offs[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))])
-            self.ids = np.concatenate([self.ids, np.fromiter((x for g in got for x in g), np.int32)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(got), np.int32)])
             self.keys = np.insert(self.keys, i[fresh], uniq[fresh])
             self.at = np.insert(self.at, i[fresh], at)
             i = np.searchsorted(self.keys, uniq)
