@@ -1,18 +1,22 @@
 """Token ids as compressed binary: an adaptive context-mixing range coder.
 
 A block holds at most ``block`` ids and is coded by itself: its model starts
-empty, and a CRC-32 of its ids stands beside it. For the id at place t three
-predictions are mixed:
-
-* order 2: the id that followed the last earlier occurrence of the two ids before,
-* order 1: the id that followed the last earlier occurrence of the id before,
-* order 0: ``GAIN * count + 1`` of every id of the vocabulary, counted up to the
-  start of the current epoch (epochs double in length from ``EPOCH``).
-
-The weights of order 2 and order 1 come from how often they were right so far
-in the block, up to the epoch's start, apart for the three cases: only order 1
-predicts; both agree; they differ. The mixture is one distribution of integer
-frequencies that drives one step of a carryless range coder (64 bits, 16-bit
+empty, and a CRC-32 of its ids stands beside it. Three predictions of the id at
+place t are mixed, with weights that add up to ``UNIT``:
+
+* order 2: the id that followed the last occurrence of the two ids before. Its
+  weight follows how often such candidates were right so far in the block, apart
+  for five cases: the pair was met once, its candidate has just been wrong, or
+  was right once, twice or more times in a row.
+* order 1: the counts of all ids that followed the id before, each in proportion.
+  Of n counts they have ``n / (n + BETA)`` of what order 2 leaves.
+* order 0: ``GAIN * count + 1`` of every id of the vocabulary, with the rest.
+
+The candidate is the last one at each place; counts, and what the weights are
+learned from, are those up to the start of the current epoch, each epoch being
+about a sixteenth of what lies before it. Orders 1 and 0 are brought to integer frequencies that add up to
+``PART``, by rounding their cumulative sums down, so that the mixture is one distribution
+of integers that drives one step of a carryless range coder (64 bits, 32-bit
 words) per id. As the encoder knows all ids, it finds the frequencies of many
 blocks at once with sorts and running sums, and then codes the blocks side by
 side; the decoder does the same step by step.
@@ -20,8 +24,9 @@ side; the decoder does the same step by step.
 Output: one row per block: ``doc_ids``, ``parts`` and ``lengths`` tell which
 documents (and which part of a document longer than a block) lie in it, in
 order. Null texts count as empty: an empty document has one part of length 0.
-Rows with a null doc_id are left out; repeated rows are kept each. An empty
-table gives no rows. Other columns are ignored.
+Very long texts are cut into parts of a block. Rows with a null doc_id are left
+out; repeated rows are kept each; there are no ties. An empty table gives no
+rows. Other columns are ignored.
 """
 
 import zlib
@@ -35,9 +40,14 @@ from pyspark.sql import functions as F
 from . import _text as X
 from ._tokens import VOCABULARY, encoder
 
-BLOCK, LANES = 8192, 256
-EPOCH, GAIN, UNIT, MOST = 256, 32, 4096, 4000
-TOP, BOT, MASK = 1 << 48, 1 << 40, (1 << 64) - 1
+BLOCK, LANES = 32768, 256
+#: Ids whose frequencies are found at once, which bounds the memory of that.
+TOGETHER = 1 << 20
+EPOCH, GAIN, BETA = 256, 30, 64
+UNIT, MOST, PART = 1 << 11, 2040, 1 << 20
+TOTAL = 31  # bits of UNIT * PART
+CASES = 5
+WORD, MASK = 32, (1 << 64) - 1
 SCHEMA = "doc_ids array<long>, parts array<int>, lengths array<int>, n_tokens int, crc long, payload binary"
 
 
@@ -45,77 +55,113 @@ def _epochs(n: int) -> list[int]:
     starts, at = [0], EPOCH
     while at < n:
         starts.append(at)
-        at *= 2
+        at += max(EPOCH, at // 16)
     return starts
 
 
+def _counts(key: np.ndarray, bits: int, low: int, at_of, epoch: np.ndarray, n_epochs: int) -> tuple[np.ndarray, ...]:
+    """Of each item: how many earlier ones have the same context and id, the same context and a smaller id, and the same context.
+
+    ``key`` holds (context, id, place) of each item, with ``bits`` bits of id and
+    ``low`` of place; ``at_of`` gives the items of sorted keys. Earlier is before
+    the item's epoch.
+    """
+    key = np.sort(key)
+    at = at_of(key)
+    n = len(key)
+    e = epoch[at]
+    new = np.ones(n + 1, bool)
+    pair = key >> np.uint64(low)
+    new[1:-1] = pair[1:] != pair[:-1]
+    index = np.arange(n, dtype=np.int32)
+    begin = np.maximum.accumulate(np.where(new[:-1], index, 0))
+    fresh = new[:-1].copy()
+    fresh[1:] |= e[1:] != e[:-1]
+    count = np.maximum.accumulate(np.where(fresh, index, 0)) - begin
+    context = pair >> np.uint64(bits)
+    new[1:-1] = context[1:] != context[:-1]
+    edge = np.flatnonzero(new).astype(np.int32)
+    group = np.cumsum(new[:-1], dtype=np.int32) - 1
+    less, all_ = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    by_epoch = np.argsort(e, kind="stable")
+    cut = np.searchsorted(e[by_epoch], np.arange(n_epochs + 1))
+    below = np.zeros(n + 1, np.int32)
+    for k in range(1, n_epochs):
+        here = by_epoch[cut[k] : cut[k + 1]]
+        if not len(here):
+            continue
+        np.cumsum(e < k, out=below[1:])
+        g = group[here]
+        first = below[edge[g]]
+        less[here] = below[begin[here]] - first
+        all_[here] = below[edge[g + 1]] - first
+    out = [np.zeros(len(epoch), np.int32) for _ in range(3)]
+    for o, x in zip(out, (count, less, all_)):
+        o[at] = x
+    return tuple(out)
+
+
+def _scaled(below: np.ndarray, own: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cumulative, frequency) of PART that ``below`` and ``own`` of ``total`` come to; exact, as none is above PART."""
+    t = np.maximum(total, 1).astype(float)
+    a = np.floor(below * float(PART) / t)
+    return a.astype(np.int64), (np.floor((below + own) * float(PART) / t) - a).astype(np.int64)
+
+
 def _model(tokens: np.ndarray, lane: np.ndarray, t: np.ndarray, lanes: int, size: int, vocabulary: int):
-    """(cumulative, frequency, total) of every id; blocks end to end, ``lane`` and ``t`` give block and place."""
+    """(cumulative, frequency) of every id; blocks end to end, ``lane`` and ``t`` give block and place."""
     n = len(tokens)
     tb, vb = max(1, (size - 1).bit_length()), vocabulary.bit_length()
-    if max(1, (lanes - 1).bit_length()) + 2 * vb + tb > 63:
+    if max(1, (lanes - 1).bit_length()) + 2 * vb + tb > 63 or GAIN * size + vocabulary > PART:
         raise ValueError("block or vocabulary too large")
     u = np.uint64
     tok, lane64, t64 = tokens.astype(u), lane.astype(u), t.astype(u)
     first = np.flatnonzero(t == 0)
     starts = np.array(_epochs(size), np.int64)
-    epoch = (np.searchsorted(starts, np.arange(size), "right") - 1).astype(np.int8)[t]
-    # sorted by (lane, id, place): order 0 and order 1
-    key = np.sort((((lane64 << u(vb)) | tok) << u(tb)) | t64)
-    group, place = key >> u(tb), (key & u((1 << tb) - 1)).astype(np.int64)
-    at = first[(group >> u(vb)).astype(np.int64)] + place
-    e = epoch[at]
-    same = np.zeros(n, bool)
-    same[1:] = group[1:] == group[:-1]
-    index = np.arange(n)
-    begin = np.maximum.accumulate(np.where(same, 0, index))
-    sub = same.copy()
-    sub[1:] &= e[1:] == e[:-1]
-    count = np.empty(n, np.int64)
-    count[at] = np.maximum.accumulate(np.where(sub, 0, index)) - begin
-    less = np.zeros(n, np.int64)
-    for k in range(1, len(starts)):
-        here = np.flatnonzero(e == k)
-        if not len(here):
-            break
-        below = np.zeros(n + 1, np.int32)
-        np.cumsum(e < k, out=below[1:])
-        a = at[here]
-        less[a] = below[begin[here]] - below[first[lane[a]]]
-    # the next occurrence of the same context is predicted by what followed this one
-    one = np.full(n, -1, np.int64)
-    pair = np.flatnonzero(same)
-    prev, here = at[pair - 1] + 1, at[pair] + 1
-    ok = (here < n) & (lane[np.minimum(here, n - 1)] == lane[at[pair]])
-    one[here[ok]] = tokens[prev[ok]]
-    two = np.full(n, -1, np.int64)
-    full = np.flatnonzero(t >= 2)
-    k2 = (((((lane64[full] << u(vb)) | tok[full - 2]) << u(vb)) | tok[full - 1]) << u(tb)) | t64[full]
-    k2.sort()
-    g2 = k2 >> u(tb)
-    p2 = first[(g2 >> u(2 * vb)).astype(np.int64)] + (k2 & u((1 << tb) - 1)).astype(np.int64)
-    rep = np.flatnonzero(g2[1:] == g2[:-1]) + 1
-    two[p2[rep]] = tokens[p2[rep - 1]]
-    state = np.where(one < 0, 0, np.where(two < 0, 1, np.where(one == two, 2, 3))).astype(np.int64)
-    hit1, hit2 = one == tokens, two == tokens
-    hit1 &= state != 2
-    hit1[hit2] = False
-    # how often each was right up to the epoch's start, by lane and state
     ne = len(starts)
-    cell = (lane.astype(np.int64) * ne + epoch) * 4 + state
-    seen, right1, right2 = (np.bincount(cell, w, lanes * ne * 4).astype(np.int64).reshape(lanes, ne, 4) for w in (None, hit1, hit2))
-    past = [np.cumsum(x, 1) - x for x in (seen, right1, right2)]
-    w1, w2 = (MOST * (r + 1) // (past[0] + 3) for r in past[1:])
-    w1[:, :, [0, 2]] = 0
-    w2[:, :, [0, 1]] = 0
-    w1, w2 = w1.reshape(-1)[cell], w2.reshape(-1)[cell]
-    base = vocabulary + GAIN * starts[epoch.astype(np.int64)]
-    rest = UNIT - w1 - w2
-    cum = (w1 + w2) * base + rest * (GAIN * less + tokens)
-    freq = rest * (GAIN * count + 1)
-    cum[hit2], freq[hit2] = 0, (w2 * base)[hit2]
-    cum[hit1], freq[hit1] = (w2 * base)[hit1], (w1 * base)[hit1]
-    return cum, freq, base * UNIT
+    epoch = (np.searchsorted(starts, np.arange(size), "right") - 1).astype(np.int8)[t]
+    mask = u((1 << tb) - 1)
+
+    def place(shift):
+        return lambda key: first[(key >> u(shift)).astype(np.int64)] + (key & mask).astype(np.int64)
+
+    count, less, _ = _counts((((lane64 << u(vb)) | tok) << u(tb)) | t64, vb, tb, place(vb + tb), epoch, ne)
+    seen = starts[epoch]
+    c0, f0 = _scaled(GAIN * less.astype(np.int64) + tokens, GAIN * count.astype(np.int64) + 1, vocabulary + GAIN * seen)
+    later = np.flatnonzero(t >= 1)
+    head = (lane64[later] << u(vb)) | tok[later - 1]
+    count, less, n1 = _counts((((head << u(vb)) | tok[later]) << u(tb)) | t64[later], vb, tb, place(2 * vb + tb), epoch, ne)
+    c1, f1 = _scaled(less, count, n1)
+    # the next occurrence of the same two ids is predicted by what followed this one
+    later = np.flatnonzero(t >= 2)
+    key = np.sort((((((lane64[later] << u(vb)) | tok[later - 2]) << u(vb)) | tok[later - 1]) << u(tb)) | t64[later])
+    at = place(2 * vb + tb)(key)
+    pair = key >> u(tb)
+    again = np.flatnonzero(pair[1:] == pair[:-1]) + 1
+    case = np.full(n, -1, np.int8)
+    hit = np.zeros(n, bool)
+    if len(again):
+        right = tokens[at[again]] == tokens[at[again - 1]]
+        index = np.arange(len(again))
+        head = np.append(True, again[1:] != again[:-1] + 1)  # the pair's second occurrence
+        stop = np.maximum.accumulate(np.where(head, index, 0))  # places since the last wrong one, or the first
+        wrong = np.maximum.accumulate(np.where(~right, index, -1))
+        before = np.append(-1, wrong[:-1])
+        run = np.where(before >= stop, index - before - 1, index - stop)
+        case[at[again]] = np.where(head, 0, 1 + np.minimum(run, CASES - 2))
+        hit[at[again]] = right
+    cell = (lane.astype(np.int64) * ne + epoch) * (CASES + 1) + case + 1
+    met, right = (np.bincount(cell, w, lanes * ne * (CASES + 1)).astype(np.int64).reshape(lanes, ne, CASES + 1) for w in (None, hit))
+    met, right = (np.cumsum(x, 1) - x for x in (met, right))
+    w2 = MOST * (right + 1) // (met + 3)
+    w2[:, :, 0] = 0
+    w2 = w2.reshape(-1)[cell]
+    w1 = (UNIT - w2) * n1 // (n1 + BETA)
+    w0 = UNIT - w2 - w1
+    cum = w2 * PART + w1 * c1 + w0 * c0
+    freq = w1 * f1 + w0 * f0
+    cum[hit], freq[hit] = 0, w2[hit] * PART
+    return cum, freq
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int, size: int = BLOCK) -> list[bytes]:
@@ -127,42 +173,40 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int, size: int = BLOCK)
     if not live:
         return payloads
     n = n[:live]
-    tokens = np.concatenate([blocks[i] for i in order[:live]]).astype(np.int64)
-    lane = np.repeat(np.arange(live), n)
-    t = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
     steps = int(n[0])
-    run = np.zeros((3, steps, live), np.uint64)
-    for a, x in zip(run, _model(tokens, lane, t, live, size, vocabulary)):
-        a[t, lane] = x.astype(np.uint64)
+    run = np.zeros((2, steps, live), np.uint32)
+    for a in range(0, live, some := max(1, TOGETHER // size)):
+        m = n[a : a + some]
+        lane = np.repeat(np.arange(len(m)), m)
+        t = np.arange(len(lane)) - np.repeat(np.cumsum(m) - m, m)
+        tokens = np.concatenate([blocks[i] for i in order[a : a + len(m)]]).astype(np.int64)
+        for out, x in zip(run, _model(tokens, lane, t, len(m), size, vocabulary)):
+            out[t, a + lane] = x
     width = np.searchsorted(-n, -np.arange(steps), "left")  # lanes longer than each step
-    out = np.zeros((live, 3 * steps + 16), np.uint16)
+    out = np.zeros((steps + 2, live), np.uint32)  # a step settles one word at most
     low, rng, pos = np.zeros(live, np.uint64), np.full(live, MASK, np.uint64), np.zeros(live, np.int64)
-    top, bot, word, keep = np.uint64(TOP), np.uint64(BOT), np.uint64(16), np.uint64(48)
-    rows = np.arange(live)
+    word, total, one = np.uint64(WORD), np.uint64(TOTAL), np.uint64(1 << WORD)
     for s in range(steps):
         w = int(width[s])
         lo, rg = low[:w], rng[:w]
-        rg //= run[2, s, :w]
+        rg >>= total
         lo += rg * run[0, s, :w]
         rg *= run[1, s, :w]
-        while True:
-            shift = (lo ^ (lo + rg)) < top
-            small = np.flatnonzero((rg < bot) & ~shift)
-            if len(small):
-                rg[small] = (~lo[small] + np.uint64(1)) & (bot - np.uint64(1))
-                shift[small] = True
-            m = np.flatnonzero(shift)
-            if not len(m):
-                break
-            x = lo[m]
-            out[rows[m], pos[m]] = x >> keep
-            pos[m] += 1
+        same = (lo ^ (lo + rg)) < one
+        m = np.flatnonzero(same | (rg < one))
+        if len(m):
+            x, r = lo[m], rg[m]
+            r = np.where(same[m], r, (~x + np.uint64(1)) & (one - np.uint64(1)))
+            p = pos[m]
+            out[p, m] = x >> word
+            pos[m] = p + 1
             lo[m] = x << word
-            rg[m] <<= word
-    for k in range(4):
-        out[rows, pos + k] = (low >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF)
+            rg[m] = r << word
+    rows = np.arange(live)
+    out[pos, rows] = low >> word
+    out[pos + 1, rows] = low
     for j, i in enumerate(order[:live]):
-        payloads[i] = out[j, : pos[j] + 4].astype(">u2").tobytes()
+        payloads[i] = out[: pos[j] + 2, j].astype(">u4").tobytes()
     return payloads
 
 
@@ -173,62 +217,64 @@ def checksum(ids: np.ndarray) -> int:
 def decode_block(payload: bytes, n: int, crc: int, vocabulary: int, size: int = BLOCK) -> np.ndarray:
     """The ids of one block; raises ValueError where they do not fit the checksum."""
     starts = _epochs(size)
-    words = [*np.frombuffer(payload[: len(payload) // 2 * 2], ">u2").tolist(), 0, 0, 0, 0]
-    code = 0
-    for x in words[:4]:
-        code = code << 16 | x
-    at, low, rng, out = 4, 0, MASK, []
-    last1, last2, history = {}, {}, []
-    seen, right1, right2, frozen, epoch = [0] * 4, [0] * 4, [0] * 4, None, -1
+    words = [*np.frombuffer(payload[: len(payload) // 4 * 4], ">u4").tolist(), 0, 0]
+    code = words[0] << WORD | words[1]
+    at, low, rng, out = 2, 0, MASK, []
+    last, run, after = {}, {}, {}
+    met, right, frozen, epoch = [0] * CASES, [0] * CASES, None, -1
     for t in range(n):
         if epoch + 1 < len(starts) and t == starts[epoch + 1]:
             epoch += 1
-            history, frozen = sorted(out), (seen[:], right1[:], right2[:])
-        one = last1.get(out[-1], -1) if t >= 1 else -1
-        two = last2.get((out[-2], out[-1]), -1) if t >= 2 else -1
-        state = 0 if one < 0 else 1 if two < 0 else 2 if one == two else 3
-        w1 = MOST * (frozen[1][state] + 1) // (frozen[0][state] + 3) if state in (1, 3) else 0
-        w2 = MOST * (frozen[2][state] + 1) // (frozen[0][state] + 3) if state in (2, 3) else 0
+            history, frozen = sorted(out), (met[:], right[:])
+            after = {}
+            for a, b in zip(out, out[1:]):
+                after.setdefault(a, []).append(b)
+            for own in after.values():
+                own.sort()
+        two = tuple(out[-2:])
+        guess = last.get(two, -1) if t >= 2 else -1
+        case = run.get(two, 0)
+        w2 = MOST * (frozen[1][case] + 1) // (frozen[0][case] + 3) if guess >= 0 else 0
+        own = after.get(out[-1], []) if t else []
+        w1 = (UNIT - w2) * len(own) // (len(own) + BETA)
+        w0 = UNIT - w2 - w1
         base = vocabulary + GAIN * len(history)
-        rest = UNIT - w1 - w2
-        rng //= base * UNIT
-        v = ((code - low) & MASK) // rng if rng else 0
-        if v < w2 * base:
-            x, cum, freq = two, 0, w2 * base
-        elif v < (w1 + w2) * base:
-            x, cum, freq = one, w2 * base, w1 * base
+
+        def below(x):
+            """What orders 1 and 0 give to the ids below x."""
+            one = bisect_left(own, x) * PART // len(own) if own else 0
+            return w1 * one + w0 * ((GAIN * bisect_left(history, x) + x) * PART // base)
+
+        rng >>= TOTAL
+        v = min(((code - low) & MASK) // rng, UNIT * PART - 1)
+        if v < w2 * PART:
+            x, cum, freq = guess, 0, w2 * PART
         else:
-            z = min((v - (w1 + w2) * base) // rest, base - 1)
-            a, b = 0, vocabulary - 1  # the last id whose cumulative is not above z
+            a, b = 0, vocabulary - 1  # the last id that begins at or below v
             while a < b:
                 m = (a + b + 1) // 2
-                if GAIN * bisect_left(history, m) + m <= z:
+                if below(m) <= v - w2 * PART:
                     a = m
                 else:
                     b = m - 1
-            x, before = a, bisect_left(history, a)
-            cum = (w1 + w2) * base + rest * (GAIN * before + a)
-            freq = rest * (GAIN * (bisect_left(history, a + 1) - before) + 1)
+            x = a
+            cum, freq = w2 * PART + below(x), below(x + 1) - below(x)
         low = (low + rng * cum) & MASK
         rng *= freq
-        while True:
-            if (low ^ ((low + rng) & MASK)) < TOP:
-                pass
-            elif rng < BOT:
-                rng = -low & (BOT - 1)
-            else:
-                break
-            if at >= len(words) + 8:
+        same = (low ^ ((low + rng) & MASK)) < 1 << WORD
+        if same or rng < 1 << WORD:
+            if not same:
+                rng = -low & ((1 << WORD) - 1)
+            if at >= len(words) + 4:
                 raise ValueError("the block is damaged")
-            code = (code << 16 | (words[at] if at < len(words) else 0)) & MASK
-            low, rng, at = low << 16 & MASK, rng << 16 & MASK, at + 1
-        seen[state] += 1
-        right2[state] += two == x
-        right1[state] += state != 2 and two != x and one == x
-        if t >= 1:
-            last1[out[-1]] = x
+            code = (code << WORD | (words[at] if at < len(words) else 0)) & MASK
+            low, rng, at = low << WORD & MASK, rng << WORD & MASK, at + 1
+        if guess >= 0:
+            met[case] += 1
+            right[case] += guess == x
+            run[two] = min(max(case, 1) + 1, CASES - 1) if guess == x else 1
         if t >= 2:
-            last2[out[-2], out[-1]] = x
+            last[two] = x
         out.append(x)
     ids = np.array(out, np.int32)
     if checksum(ids) != crc:

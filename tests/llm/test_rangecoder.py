@@ -48,3 +48,56 @@ def test_documents_round_trip(spark):
         if d not in (None, 3):
             assert e.decode([i for _, ids in sorted(parts[d]) for i in ids]) == (t or "")
     assert R.write_tokens(docs.limit(0)).count() == 0
+
+
+def slow_model(ids, vocabulary, size):
+    """(cumulative, frequency) of every id, straight from the definition."""
+    out, met, right, last, run = [], [0] * R.CASES, [0] * R.CASES, {}, {}
+    starts, old = R._epochs(size), None
+    for t, x in enumerate(ids):
+        begin = max(s for s in starts if s <= t)
+        if begin != old:
+            old, known = begin, [(right[c] + 1, met[c] + 3) for c in range(R.CASES)]
+        pair = tuple(ids[t - 2 : t]) if t >= 2 else None
+        guess, case = last.get(pair), run.get(pair, 0)
+        w2 = 0 if guess is None else R.MOST * known[case][0] // known[case][1]
+        after = [ids[i] for i in range(1, begin) if t and ids[i - 1] == ids[t - 1]]
+        w1 = (R.UNIT - w2) * len(after) // (len(after) + R.BETA)
+
+        def below(y):
+            one = sum(z < y for z in after) * R.PART // len(after) if after else 0
+            zero = (R.GAIN * sum(z < y for z in ids[:begin]) + y) * R.PART // (vocabulary + R.GAIN * begin)
+            return w1 * one + (R.UNIT - w2 - w1) * zero
+
+        out.append((0, w2 * R.PART) if guess == x else (w2 * R.PART + below(x), below(x + 1) - below(x)))
+        if guess is not None:
+            met[case] += 1
+            right[case] += guess == x
+            run[pair] = min(max(case, 1) + 1, R.CASES - 1) if guess == x else 1
+        if pair:
+            last[pair] = x
+    return out
+
+
+def test_frequencies_are_the_definition():
+    r = np.random.default_rng(5)
+    blocks = [np.minimum(r.geometric(p, n), 60) - 1 for p, n in ((0.1, 900), (0.4, 700), (0.05, 3), (0.9, 650))]
+    n = [len(b) for b in blocks]
+    lane = np.repeat(np.arange(4), n)
+    cum, freq = R._model(np.concatenate(blocks), lane, np.concatenate([np.arange(k) for k in n]), 4, 1024, 60)
+    assert list(zip(cum.tolist(), freq.tolist())) == [x for b in blocks for x in slow_model(b.tolist(), 60, 1024)]
+    assert freq.min() > 0 and (cum + freq).max() <= 1 << R.TOTAL
+
+
+def test_smaller_than_general_compression():
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    from lexiloom.llm import _text as X
+
+    e = encoder(VOCABULARY)
+    ids = e.encode(*X.flat(pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()))[0]
+    blocks = [ids[i : i + R.BLOCK] for i in range(0, len(ids), R.BLOCK)]
+    own = sum(map(len, R.encode_blocks(blocks, e.size)))
+    assert own < 0.86 * sum(len(zlib.compress(b.astype("<u2").tobytes(), 6)) for b in blocks)
