@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 from . import _text as X
 from ._tokens import VOCABULARY, encoder
 
-BLOCK, LANES = 32768, 256
+BLOCK, LANES = 32768, 384
 #: Ids whose frequencies are found at once, which bounds the memory of that.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 EPOCH, GAIN, BETA = 256, 30, 64
 UNIT, MOST, PART = 1 << 11, 2040, 1 << 20
 TOTAL = 31  # bits of UNIT * PART
