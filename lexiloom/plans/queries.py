@@ -17,6 +17,7 @@ from ..operators import perceptron as P
 from ..operators import taggers as G
 from ..operators import vectors as V
 from ..sources import corpora as S
+from ..sources.tables import read
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -36,12 +37,6 @@ def values(rows: list[tuple], names: str) -> str:
     return f"(SELECT * FROM (VALUES {shown}) AS v({names}))"
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """The table; of fewer files than cores, whose row groups can't be split, the rows are spread over all cores."""
-    df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
-
-
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
