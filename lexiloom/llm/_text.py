@@ -13,9 +13,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import read  # noqa: F401
+
 CHARS = 1 << 20
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -137,12 +139,6 @@ def ids(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """The table; of fewer files than cores, whose row groups can't be split, the rows are spread over all cores."""
-    df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the one the cluster names, or a temporary one in local mode alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -153,6 +149,12 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="lexiloom-")
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is no longer read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
@@ -179,6 +181,23 @@ def sample_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key), key).limit(n)
 
 
+#: Rows (of a few integers) up to which a table that was counted is sent to all tasks.
+SENT = 1 << 19
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A table whose lineage is cut, with a broadcast hint if it was counted to have at most ``SENT`` rows; larger ones are joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
+def one_each(docs: DataFrame, few: DataFrame, *keys: str) -> DataFrame:
+    """``few`` with the ``text`` of its ``keys``: of rows with equal keys that of the least text hash, so there are no more rows than in ``few``."""
+    joined = docs.join(F.broadcast(few), [*keys])
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text")))
+    name = fresh(joined, "nth")
+    return joined.withColumn(name, place).filter(F.col(name) == 1).drop(name)
+
+
 def usable(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, of the rows where none of them is null."""
     out = docs.select(*columns)
@@ -212,22 +231,25 @@ def unpack(blob: bytes, deltas: tuple[bool, ...]) -> list[np.ndarray]:
     return out
 
 
-def bucketed(bucket: np.ndarray, columns: list[np.ndarray], deltas: tuple[bool, ...]) -> pa.RecordBatch:
-    """Rows ``(bucket, data)``: the columns' rows of each bucket packed together, in the order they come."""
+def bucketed(bucket: np.ndarray, columns: list[np.ndarray], deltas: tuple[bool, ...], tag: int = 0) -> pa.RecordBatch:
+    """Rows ``(bucket, tag, data)``: the columns' rows of each bucket packed together, in the order they come."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
     data = [pack([c[order[a:b]] for c in columns], deltas) for a, b in zip(first, np.append(first[1:], len(bucket)))]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(np.full(len(first), tag, np.int32)), pa.array(data, pa.binary())], ["bucket", "tag", "data"])
 
 
-BUCKETED = "bucket int, data binary"
+BUCKETED = "bucket int, tag int, data binary"
 
 
-def gathered(batches, deltas: tuple[bool, ...]) -> list[np.ndarray] | None:
-    """All columns of the packed rows of a partition; None if there are none."""
-    parts = [unpack(x.as_py(), deltas) for b in batches for x in b.column(1)]
-    return [np.concatenate(c) for c in zip(*parts)] if parts else None
+def gathered(batches, *deltas: tuple[bool, ...]) -> list[list[np.ndarray]]:
+    """All columns of the packed rows of a partition, for each tag; empty columns where there are none."""
+    parts: list[list] = [[] for _ in deltas]
+    for b in batches:
+        for tag, x in zip(b.column(1).to_pylist(), b.column(2)):
+            parts[tag].append(unpack(x.as_py(), deltas[tag]))
+    return [[np.concatenate(c) for c in zip(*p)] if p else [np.zeros(0, np.int64) for _ in d] for p, d in zip(parts, deltas)]
 
 
 def flushed(parts, rows: int = 1 << 20):

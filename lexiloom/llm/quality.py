@@ -10,13 +10,16 @@ not seen, turns it into a calibrated probability of good quality.
 
 Training takes at most ``rows`` labelled documents (a bounded sample, the
 lowest key hashes): two thirds for the dictionaries, one third to calibrate,
-all of them whole. The threshold is where the F1 of the bad class on the calibration rows is greatest, so that the many
-good rows weigh against calling one of them bad.
-
-Null or empty text has difference 0; rows with a null doc_id are left out;
-repeated rows are scored each. Where a class has too few labelled rows, every
-difference is 0, the probability is the share of good rows (1 without any) and
-every document counts as good. Other columns are ignored.
+all of them whole. Of rows that repeat an id one is taken, and of labels that
+contradict each other the worse one. The threshold is where the F1 of the bad
+class on the calibration rows is greatest, so that the many good rows weigh
+against calling one of them bad; a text at the threshold counts as bad.
+
+Null or empty text has difference 0; very long texts are read whole; rows with a
+null doc_id are left out; repeated rows are scored each. Where a class has too
+few labelled rows, as in an empty table of labels, every difference is 0, the
+probability is the share of good rows (1 without any) and every document counts
+as good. An empty table of documents gives no rows. Other columns are ignored.
 """
 
 from dataclasses import dataclass
@@ -120,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     """A model from at most ``rows`` labelled documents."""
     marked = X.usable(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")), "doc_id", "quality").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     few = X.sample_rows(marked, "doc_id", rows)
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").toArrow()
+    got = X.one_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), few, "doc_id").toArrow()
     return fit(list(zip(got.column("doc_id").to_pylist(), got.column("text").to_pylist(), got.column("quality").to_pylist())))
 
 

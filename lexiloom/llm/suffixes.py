@@ -18,6 +18,12 @@ sending, all suffixes:
   words, and each task sorts one bucket. The number of buckets follows
   ``spark.sql.shuffle.partitions``, which bounds a bucket's memory.
 
+A passage may stand in a third of all documents. Where one fingerprint fills more
+of what a task has read than an eighth of a partition's share, only its least
+occurrence there goes to the bucket, so that no bucket fills with one
+fingerprint. The others are known to be copies, and travel with their documents;
+the bucket tells them their original.
+
 Suffixes travel in packed columns, and texts compressed, as the exchanges are
 what the work is bound by.
 
@@ -30,9 +36,10 @@ copies, 0 for originals) and ``first_id``, the document of the original of the
 span's first tie. ``deduplicate`` removes the copies from the texts.
 
 A passage may repeat within one document, and overlap itself. Null or empty
-texts and those below ``DEPTH`` words give no rows; rows with a null doc_id are
-left out; rows equal in doc_id and text are one document. An empty table gives
-no rows. Other columns are ignored (``deduplicate`` keeps them).
+texts and those below ``DEPTH`` words give no rows; very long texts are read
+whole; rows with a null doc_id are left out; rows equal in doc_id and text are
+one document. An empty table gives no rows. Other columns are ignored
+(``deduplicate`` keeps them).
 """
 
 import numpy as np
@@ -46,6 +53,8 @@ from . import _text as X
 #: Words that make a passage.
 DEPTH = 50
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+#: Rows that a task holds together before they are sent.
+HELD = 1 << 20
 SPANS = "doc_id long, rid long, start int, stop int, n_words int, copy int, first_id long"
 
 
@@ -73,6 +82,29 @@ def _bucket(x: np.ndarray, n: int) -> np.ndarray:
     return ((x >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def _heavy(keys: np.ndarray, partitions: int) -> np.ndarray:
+    """Which rows have a key that fills more than an eighth of a partition's share of them."""
+    most = max(2, len(keys) // (8 * partitions))
+    x = np.sort(keys)
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    many = x[first[np.diff(np.append(first, len(x))) > most]]
+    return np.isin(keys, many) if len(many) else np.zeros(len(keys), bool)
+
+
+def _least(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns (key, doc_id, text hash, place, ...) in order and without repeats, and whether each row is the first of its key."""
+    order = np.lexsort(columns[3::-1])
+    c = [x[order] for x in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in c[:4]], axis=0)
+    c = [x[new] for x in c]
+    return c, np.append(True, c[0][1:] != c[0][:-1])
+
+
+def _by_document(doc: np.ndarray, rid: np.ndarray, n: int) -> np.ndarray:
+    return _bucket(X.mix64((doc ^ rid).view(np.uint64)), n)
+
+
 def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return part.column(0).to_numpy(), part.column(1).to_numpy()
 
@@ -81,8 +113,10 @@ def tied_places(docs: DataFrame, depth: int) -> DataFrame:
     """``(doc_id, rid, places)``: sample places of each text whose rank another place shares."""
     inside = np.zeros(PERIOD, bool)
     inside[list(COVER)] = True
-    n = 2 * X.partitions(docs.sparkSession)
-    deltas = (False, True, True, True)
+    p = X.partitions(docs.sparkSession)
+    n = 2 * p
+    #: rank, doc_id, text hash, place; and what is tied already: doc_id, text hash, place
+    sent, known = (False, True, True, True), (True, True, True)
 
     def ranks(batches):
         for part in X.slices(batches):
@@ -94,19 +128,22 @@ def tied_places(docs: DataFrame, depth: int) -> DataFrame:
             yield rank, d[doc[at]], r[doc[at]], place[at]
 
     def sample(batches):
-        for c in X.flushed(ranks(batches)):
-            yield X.bucketed(_bucket(c[0], n), c, deltas)
+        for c in X.flushed(ranks(batches), HELD):
+            heavy = _heavy(c[0], p)
+            if heavy.any():
+                own, first = _least([x[heavy] for x in c])
+                c = [np.concatenate([x[~heavy], y[first]]) for x, y in zip(c, own)]
+                yield X.bucketed(_by_document(own[1], own[2], n), own[1:], known, 1)
+            yield X.bucketed(_bucket(c[0], n), c, sent)
 
     def ties(batches):
-        c = X.gathered(batches, deltas)
-        if c is None:
-            return
+        c, tied = X.gathered(batches, sent, known)
         rank = np.sort(c[0])
         twice = np.unique(rank[1:][rank[1:] == rank[:-1]])
         i = np.searchsorted(twice, c[0])
         i[i == len(twice)] = 0
-        tied = np.flatnonzero(twice[i] == c[0]) if len(twice) else np.zeros(0, np.int64)
-        _, doc, rid, place = (x[tied] for x in c)
+        again = np.flatnonzero(twice[i] == c[0]) if len(twice) else np.zeros(0, np.int64)
+        doc, rid, place = (np.concatenate([x[again], y]) for x, y in zip(c[1:], tied))
         order = np.lexsort((place, rid, doc))
         doc, rid, place = doc[order], rid[order], place[order]
         new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1]))) if len(doc) else np.zeros(0, np.int64)
@@ -118,12 +155,18 @@ def tied_places(docs: DataFrame, depth: int) -> DataFrame:
 
 def _spans(docs: DataFrame, depth: int) -> DataFrame:
     """Rows of SPANS."""
-    n = 2 * X.partitions(docs.sparkSession)
+    if depth < PERIOD:
+        raise ValueError(f"the depth must be {PERIOD} at least")
+    spark = docs.sparkSession
+    p = X.partitions(spark)
+    n = 2 * p
     own = _named(docs)
     #: fingerprint, doc_id, text hash, place, first character, last character
     sent = (False, True, True, True, True, True)
     #: doc_id, text hash, place, first character, last character, copy, first_id
     back = (True, True, True, True, True, True, True)
+    #: fingerprint and doc_id of its original, where copies of it are waiting
+    origin = (False, True)
 
     def squeezed(batches):
         for part in X.slices(batches):
@@ -161,45 +204,83 @@ def _spans(docs: DataFrame, depth: int) -> DataFrame:
             yield key, d[doc[at]], r[doc[at]], place[at], start[at], end[at + depth - 1]
 
     def suffixes(batches):
-        for c in X.flushed(candidates(batches)):
+        for c in X.flushed(candidates(batches), HELD):
+            heavy = _heavy(c[0], p)
+            if heavy.any():
+                some, first = _least([x[heavy] for x in c])
+                c = [np.concatenate([x[~heavy], y[first]]) for x, y in zip(c, some)]
+                rest = [x[~first] for x in some]
+                yield X.bucketed(_by_document(rest[1], rest[2], n), rest, sent, 1)
+                lead = np.unique(rest[0])
+                yield X.bucketed(_bucket(lead, n), [lead], origin[:1], 2)
             yield X.bucketed(_bucket(c[0], n), c, sent)
 
     def ties(batches):
         """Sorts a bucket of suffixes and marks the originals and copies of its ties."""
-        c = X.gathered(batches, sent)
-        if c is None:
+        c, waiting, asked = X.gathered(batches, sent, sent, origin[:1])
+        if len(waiting[0]):
+            yield X.bucketed(_by_document(waiting[1], waiting[2], n), waiting, sent, 1)
+        if not len(c[0]):
             return
-        order = np.lexsort((c[3], c[2], c[1], c[0]))
-        key, doc, rid, place, start, stop = (x[order] for x in c)
-        same = np.append(False, key[1:] == key[:-1])
-        again = same & np.append(False, (doc[1:] == doc[:-1]) & (rid[1:] == rid[:-1]) & (place[1:] == place[:-1]))  # the same row once more
-        key, doc, rid, place, start, stop = (x[~again] for x in (key, doc, rid, place, start, stop))
-        if not len(key):
-            return
-        copy = np.append(False, key[1:] == key[:-1])
-        first = doc[np.maximum.accumulate(np.where(copy, 0, np.arange(len(key))))]
-        keep = copy | np.append(copy[1:], False)
-        out = [x[keep] for x in (doc, rid, place, start, stop, copy.astype(np.int64), first)]
+        (key, doc, rid, place, start, stop), first = _least(c)
+        copy = ~first
+        original = doc[np.maximum.accumulate(np.where(copy, 0, np.arange(len(key))))]
+        # an original whose copies wait in other buckets is tied too
+        several = copy | np.append(copy[1:], False) | np.isin(key, asked[0])
+        out = [x[several] for x in (doc, rid, place, start, stop, copy.astype(np.int64), original)]
         order = np.lexsort((out[2], out[1], out[0]))
         out = [x[order] for x in out]
-        yield X.bucketed(_bucket(X.mix64((out[0] ^ out[1]).view(np.uint64)), n), out, back)
-
-    def islands(batches):
-        """Joins suffixes whose words overlap or touch."""
-        c = X.gathered(batches, back)
-        if c is None:
-            return
-        order = np.lexsort((c[2], c[5], c[1], c[0]))
-        doc, rid, place, start, stop, copy, first = (x[order] for x in c)
-        new = np.append(True, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1]) | (copy[1:] != copy[:-1]) | (place[1:] > place[:-1] + depth))
-        a = np.flatnonzero(new)
-        b = np.append(a[1:], len(new)) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(rid[a]), *(pa.array(x.astype(np.int32)) for x in (start[a], stop[b], place[b] - place[a] + depth, copy[a])), pa.array(first[a])], ["doc_id", "rid", "start", "stop", "n_words", "copy", "first_id"])
+        yield X.bucketed(_by_document(out[0], out[1], n), out, back)
+        led = first & np.isin(key, asked[0])
+        if led.any():
+            yield X.bucketed(np.zeros(int(led.sum()), np.int64), [key[led], doc[led]], origin, 2)
+
+    def islands(told):
+        def run(batches):
+            """Joins suffixes whose words overlap or touch."""
+            c, waiting = X.gathered(batches, back, sent)
+            if len(waiting[0]):
+                keys, docs_ = told()
+                firsts = docs_[np.searchsorted(keys, waiting[0])]
+                c = [np.concatenate(x) for x in zip(c, (*waiting[1:], np.ones(len(firsts), np.int64), firsts))]
+            if not len(c[0]):
+                return
+            order = np.lexsort((c[2], c[5], c[1], c[0]))
+            doc, rid, place, start, stop, copy, first = (x[order] for x in c)
+            # a place that comes twice was read from a row that comes twice
+            once = np.append(True, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1]) | (copy[1:] != copy[:-1]) | (place[1:] != place[:-1]))
+            doc, rid, place, start, stop, copy, first = (x[once] for x in (doc, rid, place, start, stop, copy, first))
+            new = np.append(True, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1]) | (copy[1:] != copy[:-1]) | (place[1:] > place[:-1] + depth))
+            a = np.flatnonzero(new)
+            b = np.append(a[1:], len(new)) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(rid[a]), *(pa.array(x.astype(np.int32)) for x in (start[a], stop[b], place[b] - place[a] + depth, copy[a])), pa.array(first[a])], ["doc_id", "rid", "start", "stop", "n_words", "copy", "first_id"])
+
+        return run
 
     texts = own.mapInArrow(squeezed, "doc_id long, rid long, text binary")
     rows = texts.join(tied_places(own, depth), ["doc_id", "rid"]).select("doc_id", "rid", "text", "places").mapInArrow(suffixes, X.BUCKETED)
-    found = rows.repartitionById(n, F.col("bucket")).mapInArrow(ties, X.BUCKETED)
-    return found.repartitionById(n, F.col("bucket")).mapInArrow(islands, SPANS)
+    found = X.cut(rows.repartitionById(n, F.col("bucket")).mapInArrow(ties, X.BUCKETED))
+
+    def opened_rows(batches):
+        c, waiting, led = X.gathered(batches, back, sent, origin)
+        x = led if len(led[0]) else waiting
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in x], names[: len(x)])
+
+    def closed(batches):
+        for b in batches:
+            x = [b.column(i).to_numpy() for i in range(7)]
+            yield X.bucketed(_by_document(x[1], x[2], n), [*x[1:6], np.ones(len(x[0]), np.int64), x[6]], back)
+
+    names = ["key", "doc_id", "rid", "place", "start", "stop"]
+    led = found.filter("tag = 2").mapInArrow(opened_rows, "key long, doc_id long")
+    if (n_led := led.count()) <= X.SENT:
+        got = np.array(led.collect(), np.int64).reshape(n_led, 2)
+        told = spark.sparkContext.broadcast(tuple(got[np.argsort(got[:, 0])].T))
+        rest = found.filter("tag < 2")
+        return rest.repartitionById(n, F.col("bucket")).mapInArrow(islands(lambda: told.value), SPANS)
+    waiting = found.filter("tag = 1").mapInArrow(opened_rows, ", ".join(f"{c} long" for c in names))
+    rest = waiting.join(led.withColumnRenamed("doc_id", "first_id"), "key").select(*names, "first_id").mapInArrow(closed, X.BUCKETED)
+    return found.filter("tag = 0").unionByName(rest).repartitionById(n, F.col("bucket")).mapInArrow(islands(None), SPANS)
 
 
 def repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -215,7 +296,7 @@ def deduplicate(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     a, b, r, d = (X.fresh(docs, n) for n in ("starts", "stops", "rid", "did"))
     gone = _spans(docs, depth).filter("copy = 1").groupBy("doc_id", "rid").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("s"))
-    gone = gone.select(F.col("doc_id").alias(d), F.col("rid").alias(r), F.col("s.start").alias(a), F.col("s.stop").alias(b))
+    gone = X.sent(X.cut(gone.select(F.col("doc_id").alias(d), F.col("rid").alias(r), F.col("s.start").alias(a), F.col("s.stop").alias(b))))
     place, schema, width = docs.columns.index("text"), docs.schema, len(docs.columns)
 
     def cut(batches):

@@ -12,13 +12,15 @@ the threshold. No term of the sample is left out, however rare; terms that are
 common, or that go with either class more than chance allows, alone or beside a
 toxic-leaning term, learn fast and the others slowly (``COMMON``, ``ODD``,
 ``SLOW``), or else a document's hundreds of rare terms would learn it by heart.
-The model's size is bounded by the sample, so it is sent to all tasks.
-Scoring reads every document, whole.
-
-Null or empty text has no terms and scores the bias alone; rows with a null
-doc_id are left out; repeated rows are scored each. With no labelled rows, or
-rows of one class only, nothing is called toxic and the probability is the
-share of toxic rows (0 where there are none). Other columns are ignored.
+The model's size is bounded by the sample, so it is sent to all tasks. Of rows
+that repeat an id one is taken, and of labels that contradict each other the
+worse one. Scoring reads every document, whole, however long.
+
+Null or empty text has no terms and scores the bias alone; a text at the
+threshold is not called toxic; rows with a null doc_id are left out; repeated
+rows are scored each. With no labelled rows, or rows of one class only, nothing
+is called toxic and the probability is the share of toxic rows (0 where there
+are none). An empty table of documents gives no rows. Other columns are ignored.
 """
 
 from dataclasses import dataclass
@@ -198,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     """A model from at most ``rows`` labelled documents."""
     marked = X.usable(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")), "doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = X.sample_rows(marked, "doc_id", rows)
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
+    joined = X.one_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), few, "doc_id")
 
     def run(batches):
         for part in X.slices(batches):

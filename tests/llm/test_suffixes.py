@@ -58,10 +58,14 @@ def made(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, held, sent", [(0, S.HELD, S.X.SENT), (1, 400, S.X.SENT), (2, 400, 0)])
+def test_against_brute_force(spark, seed, held, sent, monkeypatch):
+    """Also with so few rows held together that the shared passages are hot, and with their originals joined instead of sent."""
+    monkeypatch.setattr(S.X, "partitions", lambda _: 4 if held == S.HELD else 32)
+    monkeypatch.setattr(S, "HELD", held)
+    monkeypatch.setattr(S.X, "SENT", sent)
     rows = made(seed)
-    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in [*rows, rows[5], (None, rows[3][1]), (305, None)]], "doc_id long, text string, copy string, place int")
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in [*rows, rows[5], *[rows[-1]] * 30, (None, rows[3][1]), (305, None)]], "doc_id long, text string, copy string, place int")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
         got = sorted(map(tuple, S.repeats(docs).collect()))
@@ -88,3 +92,22 @@ def test_copies_are_cut(spark):
             want[d] = left
     assert {r.doc_id: r.text for r in kept.collect()} == want
     assert S.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_a_passage_in_most_documents(spark, monkeypatch):
+    monkeypatch.setattr(S, "HELD", 2000)
+    r = random.Random(11)
+    common = " ".join(f"law{i}" for i in range(60))
+    rows = [(r.randrange(1 << 60), f"{common} own{i} " + " ".join(f"t{r.randrange(10**6)}" for _ in range(20)) if i % 3 else " ".join(f"u{r.randrange(10**6)}" for _ in range(80))) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    cut = S.X.cut
+    monkeypatch.setattr(S.X, "cut", lambda df: seen.append(cut(df)) or seen[-1])
+    monkeypatch.setattr(S.X, "partitions", lambda _: 16)
+    assert sorted(map(tuple, S.repeats(docs).collect())) == brute(rows, S.DEPTH)
+    assert seen[0].filter("tag = 2").count() > 0  # the copies were marked without going to one bucket
+
+
+def test_depth_below_the_period_is_refused(spark):
+    with pytest.raises(ValueError):
+        S.repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 30)
