@@ -6,7 +6,7 @@ neighbouring lower-cased words, or the one word of a one-word document. Two
 documents are near-duplicates if their first 128 bits differ in at most
 ``RADIUS`` places and all 256 in at most ``RADIUS_ALL``; the second half keeps
 chance agreements of the first apart. Groups are the connected components of
-that relation, and the smallest doc_id of a group stays.
+that relation.
 
 Equal hashes are taken together first, so thousands of equal copies count
 once. The distinct hashes are put into blocks, every pair of blocks is one
@@ -20,11 +20,14 @@ each of the cluster's shuffle partitions (more where a block would hold over
 Each piece of work returns the edges of a spanning forest only, which has the
 same components.
 
+A document is a pair of doc_id and text: rows equal in both are one document, of
+which ``deduplicate`` leaves one row, and different texts under one doc_id are
+documents of their own. The least (doc_id, text hash) of a group stays.
+
 Null or empty texts and texts without word characters have no features and are
-never duplicates; rows with a null doc_id are left out. A repeated doc_id is
-one document with the features of all its rows' texts compared row by row: it
-joins the groups of all its rows. An empty table gives no rows. Other columns
-are ignored (``deduplicate`` keeps them).
+never duplicates; very long texts are read whole; rows with a null doc_id are
+never duplicates either. An empty table gives no rows. Other columns are ignored
+(``deduplicate`` keeps them).
 """
 
 import math
@@ -130,14 +133,16 @@ def forest(left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``(doc_id, h0, h1, h2, h3)`` of the rows that have features."""
+    """``(doc_id, rid, h0, h1, h2, h3)`` of the rows that have features; ``rid`` is the text's own hash."""
 
     def run(batches):
         for part in X.slices(batches):
-            own, h = hashes(part.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), *(pa.array(h[:, k].view(np.int64)) for k in range(WORDS))], ["doc_id", "h0", "h1", "h2", "h3"])
+            own, h = hashes(part.column(2).to_pylist())
+            at = pa.array(own)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *(pa.array(h[:, k].view(np.int64)) for k in range(WORDS))], ["doc_id", "rid", "h0", "h1", "h2", "h3"])
 
-    return X.usable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "text").mapInArrow(run, "doc_id long, h0 long, h1 long, h2 long, h3 long")
+    whole = X.usable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "text")
+    return whole.select("doc_id", F.xxhash64("text").alias("rid"), "text").mapInArrow(run, "doc_id long, rid long, h0 long, h1 long, h2 long, h3 long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -162,40 +167,60 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``(doc_id, group_id, keep)`` of every document that has a near-duplicate; ``group_id`` is the least doc_id of the group."""
+def _grouped(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(signatures, ``(doc_id, rid, group_id, keep)`` of every document that has a near-duplicate)."""
     spark = docs.sparkSession
     sig = X.cut(signatures(docs))
-    same = X.cut(sig.groupBy("h0", "h1", "h2", "h3").agg(F.min("doc_id").alias("rep")))
+    hashed = ["h0", "h1", "h2", "h3"]
+    same = X.cut(sig.groupBy(*hashed).agg(F.min(F.struct("doc_id", "rid")).alias("r")).select("r.*", *hashed))
     n = same.count()
     k = max(1, math.isqrt(4 * X.partitions(spark)), -(-n // block))
     # each hash goes to its block's pairs with all blocks
-    put = same.withColumn("b", F.pmod(F.xxhash64("h0", "h1", "h2", "h3"), F.lit(k)).cast("int"))
-    pairs = put.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("o")).select(F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "rep", "h0", "h1", "h2", "h3")
+    put = same.withColumn("b", F.pmod(F.xxhash64(*hashed), F.lit(k)).cast("int"))
+    pairs = put.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("o")).select(F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "doc_id", "rid", *hashed)
     tasks = max(1, min(k * (k + 1) // 2, 4 * X.partitions(spark)))
 
     def near(table: pa.Table) -> pa.Table:
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         b = table.column("b").to_numpy()
-        rep = table.column("rep").to_numpy()
-        h = np.stack([table.column(f"h{i}").to_numpy().view(np.uint64) for i in range(WORDS)], 1)
+        h = np.stack([table.column(c).to_numpy().view(np.uint64) for c in hashed], 1)
         i = np.flatnonzero(b == x)
         j = i if x == y else np.flatnonzero(b == y)
         p, q = compare(h[i], h[j], x == y)
-        u, v = forest(rep[i[p]], rep[j[q]])
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        u, v = (np.array(e, np.int64) for e in forest(i[p], j[q]))
+        return pa.table({f"{c}{s}": table.column(c).take(pa.array(e)) for s, e in (("u", u), ("v", v)) for c in ("doc_id", "rid")})
+
+    def node(doc: str, rid: str, name: str):
+        return F.struct(F.col(doc).alias("doc_id"), F.col(rid).alias("rid")).alias(name)
+
+    found = pairs.repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(near, "doc_idu long, ridu long, doc_idv long, ridv long")
+    found = found.select(node("doc_idu", "ridu", "u"), node("doc_idv", "ridv", "v"))
+    # documents of an equal hash belong together
+    equal = sig.join(same.withColumnsRenamed({"doc_id": "d", "rid": "r"}), hashed).select(node("doc_id", "rid", "u"), node("d", "r", "v")).filter("u <> v")
+    return sig, components(found.unionByName(equal)).select("node.*", F.col("root.doc_id").alias("group_id"), (F.col("node") == F.col("root")).cast("int").alias("keep"))
 
-    found = pairs.repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(near, "u long, v long")
-    # rows with an equal hash, and the rows of one document, belong together
-    equal = sig.join(same, ["h0", "h1", "h2", "h3"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).filter("u <> v")
-    return components(found.unionByName(equal)).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), (F.col("node") == F.col("root")).cast("int").alias("keep"))
+
+def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(doc_id, group_id, keep)`` of every document that has a near-duplicate; ``group_id`` is the least doc_id of the group."""
+    return _grouped(docs, block)[1].drop("rid")
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """The documents without those that their group's least doc_id stands for; all columns as they were."""
-    name = X.fresh(docs, "gone")
-    gone = X.cut(groups(docs, **how)).filter("keep = 0").select(F.col("doc_id").alias(name))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    """One row of each document but those that their group's least one stands for; all columns as they were.
+
+    Of rows equal in doc_id and text the one whose columns, as JSON, come first stays.
+    """
+    sig, grouped = _grouped(docs, **how)
+    d, r, w = (X.fresh(docs, name) for name in ("did", "rid", "whole"))
+    gone = X.cut(grouped.filter("keep = 0").select(F.col("doc_id").alias(d), F.col("rid").alias(r)))
+    again = X.cut(sig.groupBy(F.col("doc_id").alias(d), F.col("rid").alias(r)).count().filter("count > 1").drop("count").join(gone, [d, r], "left_anti"))
+    here = (F.col("doc_id").cast("long") == F.col(d)) & (F.xxhash64("text") == F.col(r))
+    out = docs.join(X.sent(gone), here, "left_anti")
+    if again.isEmpty():
+        return out
+    twice = out.join(X.sent(again), here).select(d, r, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(w))
+    once = twice.groupBy(d, r).agg(F.min_by(w, F.to_json(w)).alias(w)).select(f"{w}.*")
+    return out.join(X.sent(again), here, "left_anti").unionByName(once)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

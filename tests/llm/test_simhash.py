@@ -96,7 +96,7 @@ def test_groups_by_brute_force(spark):
     kept = S.deduplicate(docs, block=50)
     assert kept.columns == docs.columns
     gone = {d for d, v in want.items() if d != v}
-    assert sorted(map(str, (x.doc_id for x in kept.collect()))) == sorted(str(d) for d, *_ in rows if d not in gone)
+    assert sorted(map(str, (x.doc_id for x in kept.collect()))) == sorted({str(d) for d, *_ in rows if d not in gone})
     assert S.groups(docs.limit(0)).count() == 0
 
 
@@ -108,3 +108,13 @@ def test_components(spark):
     want = dict(zip(nodes, roots))
     want |= {v: v for v in want.values()}
     assert got == want
+
+
+def test_other_texts_of_an_id_stay_and_equal_rows_become_one(spark):
+    a, b, c = ("one passage of some words", "quite another text is here", "a third one of its own")
+    rows = [(1, a, {"k": 1}), (5, a, None), (5, b, None), (9, c, {"k": 2}), (9, c, {"k": 3}), (9, c, None), (7, None, None), (7, None, None), (8, "--", None), (8, "--", None), (None, a, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, rid map<string,int>")
+    kept = S.deduplicate(docs)
+    assert kept.schema.simpleString() == docs.schema.simpleString()
+    assert sorted(map(str, ((x.doc_id, x.text) for x in kept.collect()))) == sorted(map(str, [(1, a), (5, b), (9, c), (7, None), (7, None), (8, "--"), (8, "--"), (None, a)]))
+    assert sorted(x[:] for x in S.groups(docs).collect()) == [(1, 1, 1), (5, 1, 0)]
