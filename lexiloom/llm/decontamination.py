@@ -18,24 +18,34 @@ of ``e = min(floor(BUDGET * m), (m - Q) // Q)`` of it.
 * Verify. Of each kept band the piece is aligned with the document's stretch
   within the band's diagonals, widened by e; the least edit distance decides.
 
-The benchmark's q-grams go to every task in portions of at most ``PORTION``
-q-grams, each with its own pass over the documents, so that their size in
-memory is bounded whatever the benchmark's.
+Items below ``Q`` normalised characters have no q-gram: they are found where they
+stand as whole words, without edits.
 
-Output: ``doc_id, item_id, edits, pieces``: the pairs found, the least edit
-distance of the item's pieces and how many of them were found.
+The benchmark's q-grams go to every task in portions of about ``PORTION``
+q-grams, made one after the other from a stream of items, each with its own pass
+over the documents, so that their size in memory is bounded whatever the
+benchmark's. Places of a document that many pieces share are worked on for some
+of the pieces at a time.
 
-Null or empty texts match nothing; items below ``Q`` normalised characters have
-no q-gram and are not searched; rows with null ids are left out. Repeated items
-match alike under each id, repeated documents give one row. Empty tables give
-no rows. Other columns are ignored (``remove`` keeps them).
+Output: ``doc_id, item_id, edits, pieces``: the pairs found, the least edit
+distance of the item's pieces and how many of them were found. ``remove`` drops
+the rows whose text holds a piece; other texts under the same doc_id stay.
+
+Null or empty texts, and items without letters or digits, match nothing; very
+long texts are searched whole; rows with null ids are left out (``remove`` keeps
+them). Repeated items match alike under each id, repeated documents give one
+row. There are no ties: all pairs are given. Empty tables give no rows. Other
+columns are ignored (``remove`` keeps them).
 """
 
 import functools
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +54,8 @@ from . import _text as X
 Q, BUDGET, PIECE, STRIDE, WHOLE, LONG, PORTION = 12, 0.06, 64, 16, 100, 128, 1 << 20
 #: The least length of an excerpt that is always found, of items above WHOLE.
 PASSAGE = PIECE + STRIDE - 1
-FOUND = "doc_id long, item_id long, edits int, piece int"
+#: Places of pieces that are worked on together; portions up to which ``remove`` needs one pass and no exchange.
+HITS, IN_PASS = 1 << 22, 4
 
 
 @functools.cache
@@ -101,43 +112,70 @@ class Pieces:
     number: np.ndarray
     codes: list[np.ndarray]
     grams: np.ndarray  # distinct, sorted
-    first: np.ndarray  # where each one's occurrences begin
-    owner: np.ndarray
+    occurrence: np.ndarray  # (row of the gram, piece) in one number, ascending
     place: np.ndarray
     bits: np.ndarray
+    short: dict[int, tuple[np.ndarray, list[list[int]]]]  # by length: hashes of the items below Q, and their pieces
 
 
-def index(items: list[tuple[int, str]]) -> list[Pieces]:
+def index(items: Iterable[tuple[int, str]]) -> Iterator[Pieces]:
     """The pieces of (item_id, text) rows, in portions."""
-    codes, offs = normalise([t for _, t in items])
-    cut: list[tuple[int, int, np.ndarray]] = []
-    for (item, _), a, b in zip(items, offs, offs[1:]):
-        m = int(b - a)
-        if m >= Q:
-            cut += [(item, k, codes[a + s : a + e]) for k, (s, e) in enumerate(spans(m))]
-    out, at = [], 0
-    while at < len(cut):
-        n, end = 0, at
-        while end < len(cut) and (end == at or n + len(cut[end][2]) <= PORTION):
-            n, end = n + len(cut[end][2]), end + 1
-        part = cut[at:end]
-        at = end
-        h = [X.mix64(X.window_hashes(c, Q)) for _, _, c in part]
-        owner = np.repeat(np.arange(len(part)), [len(x) for x in h])
-        place = np.concatenate([np.arange(len(x)) for x in h])
-        h = np.concatenate(h)
-        order = np.argsort(h, kind="stable")
-        grams, first = np.unique(h[order], return_index=True)
-        bits = np.zeros(1 << 22, bool)
-        bits[(grams >> np.uint64(42)).astype(np.int64)] = True
-        out.append(Pieces(np.array([i for i, _, _ in part]), np.array([k for _, k, _ in part]), [c for _, _, c in part], grams, np.append(first, len(h)), owner[order], place[order], bits))
+    part: list[tuple[int, int, np.ndarray]] = []
+    n = 0
+    for item, text in items:
+        codes, _ = normalise([text])
+        m = len(codes)
+        part += [(item, k, codes[s:e]) for k, (s, e) in enumerate(spans(m))] if m else []
+        n += sum(e - s for s, e in spans(m))
+        if n >= PORTION:
+            yield _portion(part)
+            part, n = [], 0
+    if part:
+        yield _portion(part)
+
+
+def _portion(part: list[tuple[int, int, np.ndarray]]) -> Pieces:
+    h = [X.mix64(X.window_hashes(c, Q)) for _, _, c in part]
+    owner = np.repeat(np.arange(len(part)), [len(x) for x in h])
+    place = np.concatenate([np.arange(len(x)) for x in h])
+    h = np.concatenate(h)
+    order = np.argsort(h, kind="stable")
+    grams, back = np.unique(h[order], return_inverse=True)
+    bits = np.zeros(1 << 22, bool)
+    bits[(grams >> np.uint64(42)).astype(np.int64)] = True
+    short = {}
+    for m in sorted({len(c) for _, _, c in part if len(c) < Q}):
+        own = [p for p, (_, _, c) in enumerate(part) if len(c) == m]
+        keys, at = np.unique(np.concatenate([X.window_hashes(part[p][2], m) for p in own]), return_inverse=True)
+        by = [[] for _ in keys]
+        for p, k in zip(own, at.tolist()):
+            by[k].append(p)
+        short[m] = keys, by
+    return Pieces(np.array([i for i, _, _ in part]), np.array([k for _, k, _ in part]), [c for _, _, c in part], grams, back * len(part) + owner[order], place[order], bits, short)
+
+
+def whole_words(codes: np.ndarray, offs: np.ndarray, x: Pieces) -> list[tuple[int, int, int, int]]:
+    """(document, item, 0, piece) of the items below ``Q`` characters that stand as whole words."""
+    out = []
+    for m, (keys, pieces) in x.short.items():
+        if len(codes) < m:
+            continue
+        h = X.window_hashes(codes, m)
+        k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        at = np.flatnonzero(keys[k] == h)
+        doc = np.searchsorted(offs, at, "right") - 1
+        start = (at == offs[doc]) | (codes[at - 1] == 32)
+        end = at + m
+        stop = (end == offs[doc + 1]) | ((end < offs[doc + 1]) & (codes[np.minimum(end, len(codes) - 1)] == 32))
+        for d, row in sorted(set(zip(doc[start & stop].tolist(), k[at[start & stop]].tolist()))):
+            out += [(d, int(x.item[p]), 0, int(x.number[p])) for p in pieces[row]]
     return out
 
 
 def bands(codes: np.ndarray, offs: np.ndarray, x: Pieces) -> np.ndarray:
     """Rows (document, piece, least diagonal) of the bands with enough shared q-grams."""
     none = np.zeros((0, 3), np.int64)
-    if len(codes) < Q:
+    if len(codes) < Q or not len(x.grams):
         return none
     h = X.mix64(X.window_hashes(codes, Q))
     at = np.flatnonzero(x.bits[(h >> np.uint64(42)).astype(np.int64)])
@@ -146,12 +184,23 @@ def bands(codes: np.ndarray, offs: np.ndarray, x: Pieces) -> np.ndarray:
     doc = np.searchsorted(offs, at, "right") - 1
     ok = (x.grams[g] == h[at]) & (at + Q <= offs[doc + 1])
     at, g, doc = at[ok], g[ok], doc[ok]
-    n = x.first[g + 1] - x.first[g]
-    occ = np.repeat(x.first[g] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    piece, diagonal = x.owner[occ], np.repeat(at - offs[doc], n) - x.place[occ]
+    pieces = len(x.codes)
+    n = np.searchsorted(x.occurrence, (g + 1) * pieces) - np.searchsorted(x.occurrence, g * pieces)
+    parts = min(pieces, int(n.sum()) // HITS + 1)
+    edge = np.linspace(0, pieces, parts + 1).astype(np.int64)
+    return np.concatenate([_bands(at, g, doc, offs, x, a, b) for a, b in zip(edge, edge[1:])]) if len(at) else none
+
+
+def _bands(at, g, doc, offs, x: Pieces, low_piece: int, high_piece: int) -> np.ndarray:
+    """``bands`` of some of the pieces."""
+    pieces = len(x.codes)
+    first = np.searchsorted(x.occurrence, g * pieces + low_piece)
+    n = np.searchsorted(x.occurrence, g * pieces + high_piece) - first
+    occ = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+    piece, diagonal = x.occurrence[occ] % pieces, np.repeat(at - offs[doc], n) - x.place[occ]
     doc, where = np.repeat(doc, n), np.repeat(at, n)
     size = np.array([len(c) for c in x.codes], np.int64)
-    e = np.minimum((BUDGET * size).astype(np.int64), (size - Q) // Q)
+    e = np.maximum(0, np.minimum((BUDGET * size).astype(np.int64), (size - Q) // Q))
     step = e[piece] + 1
     low = diagonal // step
     # each hit lies in the bands that begin at its own step and at the one before
@@ -159,7 +208,7 @@ def bands(codes: np.ndarray, offs: np.ndarray, x: Pieces) -> np.ndarray:
     order = np.lexsort(rows[::-1])
     rows = rows[:, order]
     if not rows.shape[1]:
-        return none
+        return np.zeros((0, 3), np.int64)
     new = np.append(True, (rows[:, 1:] != rows[:, :-1]).any(0))
     rows = rows[:, new]  # a place of the document counts once in a band
     head = np.append(True, (rows[:3, 1:] != rows[:3, :-1]).any(0))
@@ -202,7 +251,7 @@ def banded(piece: np.ndarray, stretches: list[np.ndarray], shift: list[int], wid
 
 def find(codes: np.ndarray, offs: np.ndarray, x: Pieces) -> list[tuple[int, int, int, int]]:
     """(document, item, edits, piece) of the pieces found in flat normalised texts."""
-    out = []
+    out = whole_words(codes, offs, x)
     rows = bands(codes, offs, x)
     for p in np.unique(rows[:, 1]).tolist():
         own, piece = rows[rows[:, 1] == p], x.codes[p]
@@ -220,38 +269,59 @@ def find(codes: np.ndarray, offs: np.ndarray, x: Pieces) -> list[tuple[int, int,
     return out
 
 
-def _search(docs: DataFrame, items: DataFrame) -> DataFrame | None:
-    """Rows of FOUND, one or more for each document, item and piece; the first column is the documents' key."""
-    spark = docs.sparkSession
+def _portions(items: DataFrame) -> list[Broadcast]:
+    """The benchmark's portions, each sent as soon as it is made."""
     rows = X.usable(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id", "text").distinct().orderBy("item_id", "text")
-    found = None
-    for portion in index([(r[0], r[1]) for r in rows.toLocalIterator()]):
-        sent = spark.sparkContext.broadcast(portion)
+    return [items.sparkSession.sparkContext.broadcast(x) for x in index((r[0], r[1]) for r in rows.toLocalIterator())]
+
+
+def _search(docs: DataFrame, portions: list[Broadcast]) -> DataFrame:
+    """``(doc_id, rid)`` and the columns of what was found, one or more rows for each document, item and piece; ``rid`` is the text's hash."""
+    names = ["doc_id", "rid", "item_id", "edits", "piece"]
+    kind = "doc_id long, rid long, item_id long, edits int, piece int"
+    whole = X.usable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "text").select("doc_id", F.xxhash64("text").alias("rid"), "text")
+    found = docs.sparkSession.createDataFrame([], kind)
+    for sent in portions:
 
         def run(batches, sent=sent):
-            x = sent.value
             for part in X.slices(batches):
-                got = find(*normalise(part.column(1).to_pylist()), x)
+                got = find(*normalise(part.column(2).to_pylist()), sent.value)
                 if got:
                     d, i, e, k = zip(*got)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d, pa.int64())), pa.array(i, pa.int64()), pa.array(e, pa.int32()), pa.array(k, pa.int32())], ["doc_id", "item_id", "edits", "piece"])
+                    at = pa.array(d, pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(i, pa.int64()), pa.array(e, pa.int32()), pa.array(k, pa.int32())], names)
 
-        hits = docs.mapInArrow(run, FOUND)
-        found = hits if found is None else found.unionByName(hits)
-    return found if found is not None else spark.createDataFrame([], FOUND)
+        found = found.unionByName(whole.mapInArrow(run, kind)) if sent is not portions[0] else whole.mapInArrow(run, kind)
+    return found
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``(doc_id, item_id, edits, pieces)`` of the documents that hold a piece of an item."""
-    whole = X.usable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "text")
-    return _search(whole, items).groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.countDistinct("piece").cast("int").alias("pieces"))
+    return _search(docs, _portions(items)).groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.countDistinct("piece").cast("int").alias("pieces"))
 
 
 def remove(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no piece of an item, with all their columns."""
-    name = X.fresh(docs, "bad")
-    bad = contaminated(docs, items).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    """The rows whose text holds no piece of an item, with all their columns.
+
+    Up to ``IN_PASS`` portions, each task drops its own rows; beyond, what each
+    portion's pass finds is gathered and joined with the documents.
+    """
+    portions = _portions(items)
+    if len(portions) > IN_PASS:
+        d, r = X.fresh(docs, "did"), X.fresh(docs, "rid")
+        bad = X.cut(_search(docs, portions).select(F.col("doc_id").alias(d), F.col("rid").alias(r)).distinct())
+        return docs.join(X.sent(bad), (F.col("doc_id").cast("long") == F.col(d)) & (F.xxhash64("text") == F.col(r)), "left_anti")
+    text, key = docs.columns.index("text"), docs.columns.index("doc_id")
+
+    def run(batches):
+        for part in X.slices(batches):
+            flat = normalise(part.column(text).to_pylist())
+            clean = np.ones(part.num_rows, bool)
+            for sent in portions:
+                clean[[d for d, *_ in find(*flat, sent.value)]] = False
+            yield part.filter(pc.or_(pa.array(clean), part.column(key).is_null()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
