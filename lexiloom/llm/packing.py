@@ -7,27 +7,29 @@ a bucket, documents in the order of doc_id fill batches of ``budget`` tokens,
 ``max(1, budget // boundary)`` documents a batch.
 
 Only the histogram, whose size follows the longest text and not the number of
-texts, comes to the driver. The place of a document within its bucket is the
-count of the bucket's documents in earlier id ranges plus its place in its own
-range, so no task holds a whole bucket.
+texts, and a count for each bucket and range of documents come to the driver.
+The place of a document within its bucket is the count of the bucket's documents
+in earlier ranges plus its place in its own range. The ranges are of equal size
+however the ids are spread, and also within one id, so no task holds a whole
+bucket.
 
 Null text counts as empty; an empty text has length 0 and is packed as if of
 length 1. Rows with a null doc_id are left out. Repeated ids are packed once
-per row. An empty table gives no rows. A text longer than the budget makes a
-batch of its own, whole. Other columns are ignored.
+per row; rows equal in doc_id and length can change places. An empty table gives
+no rows. A text longer than the budget makes a batch of its own, whole. Other
+columns are ignored.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
 from ._tokens import VOCABULARY, encoder
 
 BUCKETS, BUDGET = 16, 16384
-#: Ids per range when places within a bucket are counted.
-RANGE = 65536
+PACKED = "doc_id long, n_tokens long, bucket int, boundary long, batch long"
 
 
 def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -98,21 +100,36 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, vocabula
     hist = sized.groupBy("size").count().orderBy("size").collect()
     edges = boundaries([r[0] for r in hist], [r[1] for r in hist], buckets)
     if not edges:
-        return spark.createDataFrame([], "doc_id long, n_tokens long, bucket int, boundary long, batch long")
+        return spark.createDataFrame([], PACKED)
     bucket = F.lit(0)
     for e in edges[:-1]:
         bucket = bucket + (F.col("size") > e).cast("int")
-    limit = F.element_at(F.array(*[F.lit(int(e)) for e in edges]), F.col("bucket") + 1).cast("long")
-    put = sized.withColumn("bucket", bucket).withColumn("boundary", limit).withColumn("_part", F.floor(F.col("doc_id") / RANGE))
-    before = put.groupBy("bucket", "_part").count()
-    before = before.select("bucket", "_part", (F.sum("count").over(Window.partitionBy("bucket").orderBy("_part")) - F.col("count")).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("bucket", "_part").orderBy("doc_id", "n_tokens")) - 1
-    each = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("boundary")))
-    return (
-        put.withColumn("_own", own)
-        .join(before, ["bucket", "_part"])
-        .select("doc_id", "n_tokens", "bucket", "boundary", F.floor((F.col("_own") + F.col("_before")) / each).cast("long").alias("batch"))
-    )
+    put = sized.select("doc_id", "n_tokens", bucket.alias("bucket"), F.monotonically_increasing_id().alias("row"))
+    order = ["bucket", "doc_id", "n_tokens", "row"]
+    ranges = X.cut(put.repartitionByRange(X.partitions(spark), *order).sortWithinPartitions(*order).select(*order[:3], F.spark_partition_id().alias("part")))
+    before, total = {}, [0] * len(edges)
+    for p, k, n in ranges.groupBy("part", "bucket").count().orderBy("part", "bucket").toLocalIterator():
+        before[p, k], total[k] = total[k], total[k] + n
+    sent = spark.sparkContext.broadcast(before)
+    edge = np.array(edges, np.int64)
+
+    def number(batches):
+        held: dict[int, int] = {}
+        for b in batches:
+            k, part = b.column(0).to_numpy(), b.column(3)
+            if not len(k):
+                continue
+            place = np.empty(len(k), np.int64)
+            for x in np.unique(k).tolist():
+                own = np.flatnonzero(k == x)
+                first = held.get(x, sent.value[part[0].as_py(), x])
+                place[own] = first + np.arange(len(own))
+                held[x] = first + len(own)
+            limit = edge[k]
+            batch = place // np.maximum(1, budget // limit)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0), pa.array(limit), pa.array(batch)], ["doc_id", "n_tokens", "bucket", "boundary", "batch"])
+
+    return ranges.select("bucket", "doc_id", "n_tokens", "part").mapInArrow(number, PACKED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

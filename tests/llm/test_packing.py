@@ -53,3 +53,19 @@ def test_batches(spark):
         assert r.batch == n // max(1, 64 // r.boundary)
     assert max(r.n_tokens for r in got) == 30001
     assert P.pack(docs.limit(0)).count() == 0
+
+
+def test_sparse_and_hot_ids_are_numbered_in_many_ranges(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(r.randrange(-(1 << 62), 1 << 62) if i % 3 else 77, "word " * r.randrange(1, 9)) for i in range(3000)]
+    seen = []
+    cut = P.X.cut
+    monkeypatch.setattr(P.X, "cut", lambda df: seen.append(cut(df)) or seen[-1])
+    got = P.pack(spark.createDataFrame(rows, "doc_id long, text string"), buckets=3, budget=64).collect()
+    sizes = [x["count"] for x in seen[1].groupBy("part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 3000 / 4 * 1.5  # though a third of the rows has one id
+    place = {}
+    for x in sorted(got, key=lambda x: (x.doc_id, x.n_tokens, x.batch)):
+        n = place[x.bucket] = place.get(x.bucket, -1) + 1
+        assert x.batch == n // max(1, 64 // x.boundary)
+    assert sorted((x.doc_id, x.n_tokens) for x in got) == sorted((d, t.count("word") + 1) for d, t in rows)
