@@ -7,14 +7,17 @@ text's score is that of its words together, and the language of the greatest
 score is given (of equal ones the first in the alphabet).
 
 Words are the maximal runs of letters of the lower-cased text, with the
-vocabulary's mark of a word's beginning put before; a run of more than
-``LONGEST`` letters is cut into words of that length. A letter that is no piece
-counts as a piece of probability ``FLOOR``. Distinct words are scored once per
+vocabulary's mark of a word's beginning put before. A letter that is no piece
+counts as a piece of probability ``FLOOR``. Words above ``LONGEST`` letters are
+summed in logarithms, as products of so many letters leave the range of a
+number; that is slower and gives the same. Distinct words are scored once per
 worker process and looked up after that.
 
-Training takes at most ``rows`` documents of each language in the column
-``lang`` (a bounded sample, the lowest key hashes) and fits the probabilities
-by expectation-maximisation; a part of the mean over languages is mixed in.
+Training takes at most ``rows`` documents of each of at most ``languages``
+languages in the column ``lang`` (a bounded sample: the languages of the most
+documents, and of each the lowest key hashes; of rows that repeat an id one) and
+fits the probabilities by expectation-maximisation; a part of the mean over
+languages is mixed in.
 
 ``accepted`` is 0 for texts without letters, and for those whose mean
 log-probability per letter lies more than ``FAR`` nats below that of the
@@ -23,9 +26,10 @@ training sample and so far below that its spread makes chance impossible
 are accepted.
 
 Null or empty texts have no language, score 0 and are not accepted; rows with
-a null doc_id are left out; repeated rows are scored each. Without labelled
-languages, no text has a language and texts with letters are accepted. Other
-columns are ignored (``keep_known`` keeps them).
+a null doc_id are left out; repeated rows are scored each; very long texts are
+read whole. Without labelled languages, no text has a language and texts with
+letters are accepted. An empty table gives no rows. Other columns are ignored
+(``keep_known`` keeps them).
 """
 
 from dataclasses import dataclass, field
@@ -39,9 +43,9 @@ from . import _text as X
 from ._tokens import FOLDER
 
 VOCABULARY = f"{FOLDER}/piece_bpe_32k.model"
-#: The most training documents of a language.
-ROWS = 400
-ROUNDS, MIXED, FLOOR, LONGEST, LENGTH = 5, 0.02, 1e-7, 60, 16
+#: The most training documents of a language, and the most languages.
+ROWS, LANGUAGES = 400, 200
+ROUNDS, MIXED, FLOOR, LONGEST = 5, 0.02, 1e-7, 60
 FAR, SURE = 1.0, 6.0
 #: Probabilities are multiplied by this per letter, so that long words don't underflow.
 SCALE = np.e**4
@@ -61,14 +65,15 @@ def piece_hash(piece: str) -> int:
     return (p ^ h) & (1 << 64) - 1
 
 
-def vocabulary_hashes(path: str = VOCABULARY) -> np.ndarray:
-    """Sorted hashes of the pieces of lower-case letters, with or without the mark."""
+def vocabulary(path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, lengths) of the pieces of lower-case letters, with or without the mark."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = {sp.id_to_piece(i) for i in range(sp.get_piece_size())}
-    fit = [p for p in pieces if p.lstrip(chr(MARK)).isalpha() and p == p.lower() and chr(MARK) not in p[1:] and len(p) <= LENGTH]
-    return np.unique(np.array([*map(piece_hash, fit), piece_hash(chr(MARK))], np.uint64))
+    found = {sp.id_to_piece(i) for i in range(sp.get_piece_size())}
+    fit = [chr(MARK), *(p for p in found if p.lstrip(chr(MARK)).isalpha() and p == p.lower() and chr(MARK) not in p[1:])]
+    keys, at = np.unique(np.array([*map(piece_hash, fit)], np.uint64), return_index=True)
+    return keys, np.array([len(p) for p in fit])[at]
 
 
 @dataclass
@@ -83,8 +88,8 @@ class Lattice:
     steps: np.ndarray  # pieces that end after t letters begin at steps[t]
 
 
-def lattice(words: list[np.ndarray] | tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray) -> Lattice:
-    """All pieces in the words given as (codes, starts, ends)."""
+def lattice(words: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray, longest: int) -> Lattice:
+    """All pieces, of at most ``longest`` letters, in the words given as (codes, starts, ends)."""
     codes, a, b = words
     n = b - a + 1  # with the mark
     first = np.cumsum(n + 1) - n - 1  # one node more than letters
@@ -100,7 +105,7 @@ def lattice(words: list[np.ndarray] | tuple[np.ndarray, np.ndarray, np.ndarray],
     bits[(keys >> np.uint64(44)).astype(np.int64)] = True
     starts, ends, pieces, known = [], [], [], np.zeros(total, bool)
     h = np.zeros(total, np.uint64)
-    for size in range(1, min(LENGTH, int(n.max(initial=0))) + 1):
+    for size in range(1, min(longest, int(n.max(initial=0))) + 1):
         h = h[: total - size + 1] * B + c[size - 1 :] + np.uint64(1)
         g = h ^ np.uint64(size * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
         at = np.flatnonzero(bits[(g >> np.uint64(44)).astype(np.int64)] & (left[: len(g)] >= size))
@@ -118,7 +123,7 @@ def lattice(words: list[np.ndarray] | tuple[np.ndarray, np.ndarray, np.ndarray],
     ends.append(node[lone] + 1)
     pieces.append(np.full(len(lone), len(keys)))
     start, end, piece = map(np.concatenate, (starts, ends, pieces))
-    step = np.zeros(int((n + 1).sum()), np.int16)
+    step = np.zeros(int((n + 1).sum()), np.int32)
     step[:] = np.arange(len(step)) - np.repeat(first, n + 1)
     order = np.argsort(step[end].astype(np.int64) << 40 | end, kind="stable")
     start, end, piece = (v[order].astype(np.int32) for v in (start, end, piece))
@@ -156,15 +161,52 @@ def expected(x: Lattice, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return out
 
 
+def forward_log(x: Lattice, q: np.ndarray) -> np.ndarray:
+    """``forward`` in logarithms."""
+    alpha = np.full((int(x.last[-1]) + 1 if len(x.last) else 0, q.shape[1]), -np.inf)
+    alpha[x.first] = 0
+    for t in range(1, len(x.steps) - 1):
+        a, b = x.steps[t], x.steps[t + 1]
+        if a < b:
+            end = x.end[a:b]
+            cut = np.flatnonzero(np.append(True, end[1:] != end[:-1]))
+            alpha[end[cut]] = np.logaddexp.reduceat(alpha[x.start[a:b]] + q[x.piece[a:b]], cut, axis=0)
+    return alpha
+
+
+def expected_log(x: Lattice, q: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """``expected`` in logarithms."""
+    alpha = forward_log(x, q)
+    beta = np.full_like(alpha, -np.inf)
+    with np.errstate(divide="ignore"):
+        beta[x.last] = np.log(weight) - alpha[x.last]
+    out = np.zeros_like(q)
+    for t in range(len(x.steps) - 2, 0, -1):
+        a, b = x.steps[t], x.steps[t + 1]
+        if a < b:
+            s, e, k = x.start[a:b], x.end[a:b], x.piece[a:b]
+            flow = q[k] + beta[e]
+            np.add.at(out, k, np.exp(alpha[s] + flow))
+            np.logaddexp.at(beta, s, flow)
+    return out
+
+
+def portions(size: np.ndarray) -> list[tuple[np.ndarray, bool]]:
+    """The words of these sizes in parts that are worked on together, and whether a part's words are long."""
+    long = size > LONGEST
+    out = []
+    for flag in (False, True):
+        own = np.flatnonzero(long == flag)
+        if len(own):
+            part = np.cumsum(size[own]) // (PORTION * 10)
+            out += [(x, flag) for x in np.split(own, np.flatnonzero(np.diff(part)) + 1)]
+    return out
+
+
 def letter_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(codes, starts, ends, document) of the words of the texts."""
     codes, offs = X.flat(texts, lower=True)
     a, b, doc = X.word_spans(codes, offs, "alpha")
-    parts = -(-(b - a) // LONGEST)
-    if len(a) and parts.max() > 1:
-        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        a, end, doc = np.repeat(a, parts) + k * LONGEST, np.repeat(b, parts), np.repeat(doc, parts)
-        b = np.minimum(a + LONGEST, end)
     return codes, a, b, doc
 
 
@@ -173,6 +215,7 @@ class Model:
     langs: list[str]
     keys: np.ndarray
     p: np.ndarray  # probability times SCALE to the length, by piece and language; the last row is an unknown letter's
+    longest: int = 16  # letters of the longest piece
     mean: float = 0.0
     spread: float = 0.0
     memory: tuple = field(default=None, repr=False)
@@ -190,13 +233,14 @@ class Model:
         new[inside] = have[i[inside]] != uniq[inside]
         fresh = np.flatnonzero(new)
         if len(fresh):
-            own = []
-            for part in np.array_split(where[fresh], -(-len(fresh) // PORTION)):
-                x = lattice((codes, a[part], b[part]), self.keys)
-                n = b[part] - a[part] + 1
-                own.append(np.log(forward(x, self.p)[x.last]) - np.log(SCALE) * n[:, None])
+            begin, end = a[where[fresh]], b[where[fresh]]
+            own = np.zeros((len(fresh), len(self.langs)), np.float32)
+            for part, long in portions(end - begin):
+                x = lattice((codes, begin[part], end[part]), self.keys, self.longest)
+                last = forward_log(x, np.log(self.p))[x.last] if long else np.log(forward(x, self.p)[x.last])
+                own[part] = last - np.log(SCALE) * (end[part] - begin[part] + 1)[:, None]
             have = np.insert(have, i[fresh], uniq[fresh])
-            scores = np.insert(scores, i[fresh], np.concatenate(own).astype(np.float32), axis=0)
+            scores = np.insert(scores, i[fresh], own, axis=0)
             self.memory = have, scores
             i = np.searchsorted(have, uniq)
         return scores[i][back]
@@ -219,34 +263,32 @@ class Model:
 
 def fit(rows: list[tuple[str, str]], path: str = VOCABULARY) -> Model:
     """A model from (lang, text) rows."""
-    keys = vocabulary_hashes(path)
+    keys, size = vocabulary(path)
     rows = sorted(rows)
     langs = sorted({g for g, _ in rows})
     p = np.full((len(keys) + 1, len(langs)), 1 / len(keys))
-    m = Model(langs, keys, p)
+    m = Model(langs, keys, p, int(size.max()))
     if not langs:
         return m
     texts = [t for _, t in rows]
     own = np.array([langs.index(g) for g, _ in rows])
     codes, a, b, doc = letter_runs(texts)
     if not len(a):
-        return Model([], keys, p[:, :0])
+        return Model([], keys, p[:, :0], int(size.max()))
     h = X.word_hashes(codes, a, b)
     uniq, where, back = np.unique(h, return_index=True, return_inverse=True)
     weight = np.bincount(back * len(langs) + own[doc], minlength=len(uniq) * len(langs)).reshape(len(uniq), len(langs)).astype(float)
     # scaled by length: the scale cancels where words are compared, and in the expectations
-    size = np.ones(len(keys) + 1)
-    parts = np.array_split(np.arange(len(where)), -(-len(where) // PORTION))
-    lattices = [lattice((codes, a[where[i]], b[where[i]]), keys) for i in parts]
-    for x in lattices:
-        size[x.piece] = x.end - x.start
+    scale = SCALE ** np.append(size, 1.0)[:, None]
+    parts = portions(b[where] - a[where])
+    lattices = [lattice((codes, a[where[i]], b[where[i]]), keys, m.longest) for i, _ in parts]
     for _ in range(ROUNDS):
-        q = np.where(np.arange(len(p))[:, None] < len(keys), p, FLOOR) * SCALE ** size[:, None]
-        e = sum(expected(x, q, weight[i]) for x, i in zip(lattices, parts))[:-1]
+        q = np.where(np.arange(len(p))[:, None] < len(keys), p, FLOOR) * scale
+        e = sum(expected_log(x, np.log(q), weight[i]) if long else expected(x, q, weight[i]) for x, (i, long) in zip(lattices, parts))[:-1]
         e = e / np.maximum(e.sum(0), 1e-300) + 1e-9
         e = (1 - MIXED) * e + MIXED * e.mean(1, keepdims=True)
         p[:-1] = e / e.sum(0)
-    m.p = np.where(np.arange(len(p))[:, None] < len(keys), p, FLOOR) * SCALE ** size[:, None]
+    m.p = np.where(np.arange(len(p))[:, None] < len(keys), p, FLOOR) * scale
     score, letters = m.text_scores(texts)
     some = letters > 0
     each = (score.max(1) / np.maximum(letters, 1))[some]
@@ -256,13 +298,14 @@ def fit(rows: list[tuple[str, str]], path: str = VOCABULARY) -> Model:
     return m
 
 
-def train(docs: DataFrame, rows: int = ROWS, path: str = VOCABULARY) -> Model:
-    """A model from at most ``rows`` documents of each language."""
-    key = F.col("doc_id").cast("long")
-    named = X.usable(docs.select(key.alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"), "doc_id", "lang", "text")
+def train(docs: DataFrame, rows: int = ROWS, path: str = VOCABULARY, languages: int = LANGUAGES) -> Model:
+    """A model from at most ``rows`` documents of each of at most ``languages`` languages."""
+    key, lang = F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")
+    named = X.usable(docs.select(key, lang, "text"), "doc_id", "lang", "text")
+    many = X.usable(docs.select(key, lang), "doc_id", "lang").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    few = named.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= rows).select("doc_id", "lang").distinct()
-    got = named.join(F.broadcast(few), ["doc_id", "lang"]).select("lang", "text").toArrow()
+    few = named.select("doc_id", "lang").join(F.broadcast(many), "lang").withColumn("place", place).filter(F.col("place") <= rows).select("doc_id", "lang").distinct()
+    got = X.one_each(named, few, "doc_id", "lang").select("lang", "text").toArrow()
     return fit(list(zip(got.column("lang").to_pylist(), got.column("text").to_pylist())), path)
 
 

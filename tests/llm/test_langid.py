@@ -17,18 +17,18 @@ def brute(m, word, g):
     """The sum over all segmentations, by recursion over the pieces' definition."""
     w = chr(L.MARK) + word
     rows = {int(k): i for i, k in enumerate(m.keys)}
-    total = [1.0] + [0.0] * len(w)
+    total = [np.longdouble(1)] + [np.longdouble(0)] * len(w)
     for e in range(1, len(w) + 1):
-        for s in range(max(0, e - L.LENGTH), e):
+        for s in range(max(0, e - m.longest), e):
             i = rows.get(L.piece_hash(w[s:e]), len(m.keys) if e - s == 1 else None)
             if i is not None:
                 total[e] += total[s] * m.p[i, g] / L.SCALE ** (e - s)
-    return math.log(total[-1])
+    return float(np.log(total[-1]))
 
 
 def test_forward_sums_all_segmentations():
     m = L.fit(made(20, 1))
-    words = ["house", "haus", "a", "é", "日本", "antidisestablishmentarianism", "xqzj"]
+    words = ["house", "haus", "a", "é", "日本", "antidisestablishmentarianism", "xqzj", "haus" * 15, "haus" * 16, "maisoné" * 90]
     codes, a, b, _ = L.letter_runs([" ".join(words)])
     got = m.word_scores(codes, a, b)
     for w, x in zip(words, got):
@@ -70,3 +70,23 @@ def test_tables(spark):
     assert L.identify(docs.limit(0), m).count() == 0 and L.keep_known(docs.limit(0), m).count() == 0
     none = L.train(docs.limit(0))
     assert {(r.lang, r.accepted) for r in L.identify(docs, none).collect()} == {(None, 1), (None, 0)}
+
+
+def test_long_words_are_learned_alike(monkeypatch):
+    rows = made(10, 4) + [("en", "thehouse" * 7), ("de", "dashaus" * 7)]
+    plain = L.fit(rows)
+    monkeypatch.setattr(L, "LONGEST", 3)  # nearly all words in logarithms
+    logs = L.fit(rows)
+    assert np.allclose(plain.p, logs.p, rtol=1e-6)
+
+
+def test_samples_keep_their_bounds(spark):
+    rows = [(1, "the house of words", "en")] * 300 + [(i, "the house", f"x{i % 40}") for i in range(2, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    fit, L.fit = L.fit, lambda got, path: seen.extend(got)
+    try:
+        L.train(docs, rows=3, languages=5)
+    finally:
+        L.fit = fit
+    assert len({g for g, _ in seen}) == 5 and len(seen) == 4 * 3 + 1 and ("en", "the house of words") in seen
