@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import decontamination, langid, packing, simhash, suffixes
-from lexiloom.llm._text import read, shared_folder
+from lexiloom.llm._text import drop, read, shared_folder
 
 #: SQL can't express the stages' models and hashes; they are tested by brute force.
 ORACLE_SQL = None
@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the least doc_id, of each group of near-duplicates."""
+    """Keeps one document, that of the least doc_id, of each group of near-duplicates, and one row of it."""
     return simhash.deduplicate(docs)
 
 
@@ -38,7 +38,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
+    """Drops rows whose text holds a passage of the benchmark."""
     return decontamination.remove(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -57,10 +57,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; what each returns is written as Parquet in the cluster's shared folder and read again."""
+    """Applies the stages to ``documents``; what each returns is written as Parquet in the cluster's shared folder and read again.
+
+    What a stage wrote is deleted when the next one has been written; the last is what is returned.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            drop(spark, f"{folder}/{k - 1}")
     return docs
