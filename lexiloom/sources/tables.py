@@ -14,5 +14,5 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     left to the scan's own splits and never moved.
     """
     df, cores = spark.read.parquet(f"{folder}/{table}.parquet"), spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= SMALL and len(df.inputFiles()) < cores else df
