@@ -4,11 +4,13 @@ A transcript is text whose lines belong to turns of speakers. A line may begin
 with a speaker marker (``User:``, ``### Assistant``, ``[system]``, ``<|user|>``,
 ``**Bot**:``, ``Q:`` ...) or have none. The hidden states are the roles, each
 with a state for a turn's first line and one for its further lines. A line is
-observed as two features that are independent given the state: the kind of its
-marker (none, one of the roles' own, unknown), and its form (length class,
-a blank line before it, whether it ends as a question). Viterbi's algorithm
+observed as four features that are independent given the state: the kind of its
+marker (none, one of the roles' own, unknown), and its form: length class, a
+blank line before it, and whether it ends as a question. Viterbi's algorithm
 finds the likeliest states; the turns are then rendered canonically, with the
-markers taken off:
+markers taken off. A marker takes one space after it along; all else, indentation
+and blank lines within a turn included, stays as it was, but for blank lines at a
+turn's beginning and end:
 
     <|role|>
     text of the turn
@@ -22,19 +24,22 @@ the corpus. How often a line has its speaker's own marker is a parameter
 Conversations are rows ``(conv_id, turn, role, text)``: ``transcripts`` writes
 each, in the order of turn, role and text, as a transcript. A row with a known
 role has its marker; with a null or unknown role it has none, and the role is
-recovered. Turns are separated by a blank line. Null text counts as empty; rows
-with a null conv_id are left out; a null turn comes first; repeated rows are
-kept as turns. Turns of one role that follow each other are one turn if the
-model takes them so. A conversation without any line renders as the empty text
-with 0 turns. An empty table gives no rows. Other columns are ignored.
+recovered. Turns are separated by a blank line. Null text counts as empty, and
+without a marker leaves no line; very long texts are read whole; rows with a
+null conv_id are left out; a null turn comes first; repeated rows are kept as
+turns. Of equally likely states the lowest counts. Turns of one role that follow
+each other without markers are one turn if the model takes them so. A
+conversation without any line renders as the empty text with 0 turns. An empty
+table gives no rows. Other columns are ignored.
 """
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
@@ -54,11 +59,11 @@ _ROLE = {n: i for i, r in enumerate(ROLES) for n in NAMES[r].replace("s?", "").s
 _NAME = "|".join(NAMES.values())
 _MARK = re.compile(
     rf"""\s*(?:
-      <\|\s*(?:im_start\|>)?\s*(?P<a>\w+)\s*(?:\|>)?            # <|user|>, <|im_start|>user
-    | \[\s*(?P<b>{_NAME})\s*\]\s*:?                              # [user]
-    | \#{{1,6}}\s*(?P<c>{_NAME})\s*:?(?=\s|$)                    # ### User
-    | (?P<d>\*\*|__)?\s*(?P<e>[^\W\d_]\w{{0,19}})\s*(?P<f>\*\*|__)?\s*[:>]\s*(?P<g>\*\*|__)?(?=\s|$)  # User:, **User**:, **User:**
-    )\s*""",
+      <\|\s*(?:im_start\|>)?\s*(?P<a>\w+)(?:\s*\|>)?             # <|user|>, <|im_start|>user
+    | \[\s*(?P<b>{_NAME})\s*\](?:\s*:)?                          # [user]
+    | \#{{1,6}}\s*(?P<c>{_NAME})(?:\s*:)?(?=\s|$)                # ### User
+    | (?P<d>\*\*|__)?\s*(?P<e>[^\W\d_]\w{{0,19}})\s*(?P<f>\*\*|__)?\s*[:>](?P<g>\*\*|__)?(?=\s|$)  # User:, **User**:, **User:**
+    )[ ]?""",
     re.I | re.X,
 )
 
@@ -126,19 +131,19 @@ def model(first: np.ndarray, turns: np.ndarray, lines: np.ndarray, ends: np.ndar
             step[2 * r + k, 0::2] = (1 - more) * after
     start = np.full(STATES, 1e-12)
     start[0::2] = (first + 1) / (first.sum() + n)
-    return Model(np.log(start), np.log(step), np.log((forms + 1) / (forms.sum(1, keepdims=True) + FORMS)), marks())
+    cells = forms.reshape(STATES, len(LENGTHS) + 1, 2, 2)
+    form = np.zeros(cells.shape)
+    for axis in (1, 2, 3):  # length, blank line before and question are independent, so that rare cells are not all alike
+        own = cells.sum(tuple({1, 2, 3} - {axis}), keepdims=True)
+        form += np.log((own + 1) / (own.sum(axis, keepdims=True) + own.shape[axis]))
+    return Model(np.log(start), np.log(step), form.reshape(STATES, FORMS), marks())
 
 
 def lines_of(text: str) -> list[tuple[str, bool]]:
     """The lines that aren't blank, each with whether a blank line (or nothing) is before it."""
-    out, blank = [], True
-    for line in (text or "").split("\n"):
-        if line.strip():
-            out.append((line, blank))
-            blank = False
-        else:
-            blank = True
-    return out
+    raw = (text or "").split("\n")
+    at = [i for i, line in enumerate(raw) if line.strip()]
+    return [(raw[i], k == 0 or at[k - 1] < i - 1) for k, i in enumerate(at)]
 
 
 def _known(role: str = "role"):
@@ -159,9 +164,9 @@ def train(conversations: DataFrame) -> Model:
     def run(batches):
         first, turns, lines, ends, forms = np.zeros(n), np.zeros((n, n)), np.zeros(n), np.zeros(n), np.zeros((STATES, FORMS))
         for batch in batches:
-            for conv in batch.column(0).to_pylist():
+            for conv in batch.column(0):
                 last = None
-                for t in conv:
+                for t in conv.as_py():
                     own = lines_of(t["text"])
                     if not own:
                         continue
@@ -186,28 +191,45 @@ def train(conversations: DataFrame) -> Model:
     return model(a[0], a[1].reshape(n, n), a[2], a[3], a[4].reshape(STATES, FORMS))
 
 
-def transcripts(conversations: DataFrame) -> DataFrame:
-    """``(conv_id, transcript)``: turns in order, with a marker where the role is known, a blank line between them."""
-    said = F.transform("turns", lambda t: F.concat(F.when(t["role"].isNotNull(), F.concat(F.initcap(t["role"]), F.lit(": "))).otherwise(F.lit("")), t["text"]))
+def named(conv: Column, t: Column, i: Column) -> Column:
+    """The marker ``Role: `` of a turn."""
+    return F.concat(F.initcap(t["role"]), F.lit(": "))
+
+
+def varied(conv: Column, t: Column, i: Column) -> Column:
+    """Markers of four kinds, for the first turn and for half of the others; the rest have none."""
+    k = F.pmod(F.xxhash64(conv, t["turn"]), F.lit(8))
+    role = F.initcap(t["role"])
+    kinds = [(role, ": "), (F.lit("### "), role, "\n"), (F.lit("["), t["role"], "] "), (F.lit("**"), role, "**: ")]
+    some = F.lit("")
+    for n, kind in enumerate(kinds):
+        some = F.when(k % 4 == n, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in kind])).otherwise(some)
+    return F.when((i == 0) | (k < 4), some).otherwise("")
+
+
+def transcripts(conversations: DataFrame, mark: Callable[[Column, Column, Column], Column] = named) -> DataFrame:
+    """``(conv_id, transcript)``: turns in order, a blank line between them, each with the marker that ``mark`` gives for (conversation, turn, its number) where the role is known."""
+    said = F.transform("turns", lambda t, i: F.concat(F.when(t["role"].isNotNull(), mark(F.col("conv_id"), t, i)).otherwise(F.lit("")), t["text"]))
     return _sorted(conversations).select("conv_id", F.array_join(said, "\n\n").alias("transcript"))
 
 
 def parse(text: str, m: Model) -> list[tuple[str, str]]:
     """(role, text) of the turns of a transcript."""
-    own = lines_of(text)
-    got = [marker(line) for line, _ in own]
-    rest = [line for _, line in got]
-    states = m.viterbi([k for k, _ in got], [form(r, blank) for r, (_, blank) in zip(rest, own)])
-    turns: list[tuple[str, list[str]]] = []
-    for i, s in enumerate(states):
-        role = ROLES[s // 2]
-        # a marker of another role within a turn is part of the text
-        line = rest[i] if got[i][0] == s // 2 else own[i][0]
-        if s % 2 == 0 or not turns:
-            turns.append((role, [line]))
-        else:
-            turns[-1][1].append(line)
-    return [(role, "\n".join(x).strip("\n")) for role, x in turns]
+    raw = (text or "").split("\n")
+    at = [i for i, line in enumerate(raw) if line.strip()]
+    got = [marker(raw[i]) for i in at]
+    states = m.viterbi([k for k, _ in got], [form(rest, k == 0 or at[k - 1] < at[k] - 1) for k, (_, rest) in enumerate(got)])
+    first = [k for k, s in enumerate(states) if s % 2 == 0 or k == 0]
+    turns = []
+    for a, b in zip(first, [*first[1:], len(at)]):
+        role = states[a] // 2
+        own = raw[at[a] : at[b - 1] + 1]
+        if got[a][0] == role:  # a marker of another role is part of the text, and so are all within a turn
+            own[0] = got[a][1]
+        while own and not own[0].strip():
+            del own[0]
+        turns.append((ROLES[role], "\n".join(own)))
+    return turns
 
 
 def render(turns: list[tuple[str, str]]) -> str:
@@ -227,14 +249,15 @@ def format_chats(texts: DataFrame, m: Model) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, written with markers for the first turn and half of the others, parsed and rendered."""
     table = X.read(spark, sf_dir, "conversations")
-    return format_chats(transcripts(table), train(table))
+    return format_chats(transcripts(table, varied), train(table))
 
 
 def sql() -> str:
-    """What the rendering must be where every turn has its marker: the turns of the table."""
+    """What the rendering must be: the turns of the table, with the roles that the model has to recover where the marker is missing."""
     return r"""
-WITH t AS (SELECT conv_id, turn, role, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10)) AS text FROM conversations WHERE conv_id IS NOT NULL)
+WITH t AS (SELECT conv_id, turn, role, regexp_replace(regexp_replace(text, '^(\s*\n)+', ''), '(\n\s*)+$', '') AS text FROM conversations WHERE conv_id IS NOT NULL)
 SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns, string_agg(role, ',' ORDER BY turn, role, text) AS roles,
 string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>', chr(10) ORDER BY turn, role, text) AS chat
 FROM t GROUP BY conv_id"""

@@ -8,7 +8,7 @@ from lexiloom.llm import transcripts as T
 
 
 def test_markers():
-    for line, kind, rest in (("User: hi", 1, "hi"), ("**Assistant:** yes", 2, "yes"), ("**Human**: hi", 1, "hi"), ("### System", 0, ""), ("[bot] ok", 2, "ok"), ("<|user|>", 1, ""), ("<|im_start|>assistant", 2, ""), ("Q: why?", 1, "why?"), ("a line", 3, "a line"), ("Note: x", 4, "Note: x"), ("http://x", 3, "http://x"), ("", 3, "")):
+    for line, kind, rest in (("User: hi", 1, "hi"), ("**Assistant:** yes", 2, "yes"), ("**Human**: hi", 1, "hi"), ("### System", 0, ""), ("[bot] ok", 2, "ok"), ("<|user|>", 1, ""), ("<|im_start|>assistant", 2, ""), ("Q: why?", 1, "why?"), ("User:     def f():", 1, "    def f():"), ("### User   x", 1, "  x"), ("[user]:  y", 1, " y"), ("a line", 3, "a line"), ("Note: x", 4, "Note: x"), ("http://x", 3, "http://x"), ("", 3, "")):
         assert T.marker(line) == (kind, rest), line
 
 
@@ -79,3 +79,31 @@ def test_tables(spark):
     for c, turns in itertools.groupby(made(50, 4), key=lambda x: x[0]):
         assert got[c].chat == T.render([(role, text) for _, _, role, text in turns])
     assert T.format_chats(T.transcripts(df.limit(0)), T.train(df.limit(0))).count() == 0
+
+
+def test_blank_lines_and_indentation_stay(spark):
+    code, two = "    def f():\n\n        return 1", "one\n\n  \ntwo"
+    rows = []
+    for c in range(40):
+        rows += [(c, 0, "user", code), (c, 1, "assistant", two), (c, 2, "user", "What is it?"), (c, 3, "assistant", "It is one:\nUser: not a turn")]
+    rows += [(50, 0, "user", "\n \nlate\n\n"), (50, 1, "assistant", code)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    m = T.train(df)
+    for mark in (T.named, T.varied):
+        got = {r.conv_id: r.chat for r in T.format_chats(T.transcripts(df, mark), m).collect()}
+        assert got[50] == T.render([("user", "late"), ("assistant", code)])
+    assert got[0] and T.parse(f"User: {code}\n\nAssistant: {two}", m) == [("user", code), ("assistant", two)]
+
+
+def test_whole_table_against_sql(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{d}/conversations.parquet'")
+    want = con.sql(T.sql())
+    got = T.query(spark, d)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+    bare = T.transcripts(spark.read.parquet(f"{d}/conversations.parquet"), T.varied).collect()
+    lines = [x for r in bare for x in r.transcript.split("\n\n")]
+    assert sum(T.marker(x)[0] == len(T.ROLES) for x in lines) > len(lines) / 4  # so many turns have no marker
