@@ -22,6 +22,11 @@ def brute(text, k, s):
             for j in range(i, i + k, s):
                 one, two = (one * S.C1 + h(text[j : j + s])) % S.P, (two * S.C2 + h(text[j : j + s])) % S.P
             out.append((i, one * (1 << 31) + two))
+    if text and not out:
+        one = two = 0
+        for c in text:
+            one, two = (one * S.C1 + ord(c)) % S.P, (two * S.C2 + ord(c)) % S.P
+        out.append((0, one * (1 << 31) + two))
     return out
 
 
@@ -47,8 +52,9 @@ def test_passage_has_the_same_anchors_anywhere(spark):
     r = random.Random(6)
     w = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
     passage = w(500)
-    docs = spark.createDataFrame([(1, w(123) + passage + w(80)), (2, w(40) + passage)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, w(123) + passage + w(80)), (2, w(40) + passage), (None, passage), (3, None)], "doc_id long, text string")
     a = S.syncmers(docs)
+    a = a.unionByName(a)  # repeated rows change nothing
     best = S.match_positions(a.filter("doc_id = 1"), a.filter("doc_id = 2")).orderBy("anchors", ascending=False).first()
     inside = [p for p, _ in brute(passage, S.K, S.S)]
     assert (best["shift"], best.anchors) == (40 - 123, len(inside))
@@ -57,3 +63,13 @@ def test_passage_has_the_same_anchors_anywhere(spark):
 def test_parameters(spark):
     with pytest.raises(ValueError):
         S.syncmers(spark.createDataFrame([(1, "x")], "doc_id long, text string"), 10, 3)
+
+
+def test_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = S.query(spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(S.sql()).fetchall()) and got.filter("pos = 0").count() > 0
+    assert got.select("doc_id").distinct().count() == con.sql("SELECT count(DISTINCT doc_id) FROM documents WHERE text <> ''").fetchone()[0]
