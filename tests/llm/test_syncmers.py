@@ -72,4 +72,4 @@ def test_sql(spark):
     con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
     got = S.query(spark, "/root/testdata/sf0.001")
     assert sorted(map(tuple, got.collect())) == sorted(con.sql(S.sql()).fetchall()) and got.filter("pos = 0").count() > 0
-    assert got.select("doc_id").distinct().count() == con.sql("SELECT count(DISTINCT doc_id) FROM documents WHERE text <> ''").fetchone()[0]
+    assert got.select("doc_id").distinct().count() == con.sql("SELECT count(DISTINCT doc_id) FROM documents WHERE text <> ''").fetchall()[0][0]
