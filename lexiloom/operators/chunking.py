@@ -16,6 +16,7 @@ from ..functions import tags as T
 from ..sources import models as M
 from . import perceptron as P
 from . import taggers as G
+from .sizes import fresh
 
 OUT = "O"
 
@@ -25,20 +26,22 @@ def tags_since_determiner(tokens: DataFrame, *keys: str, tagset: T.TagSet = T.RA
     w = Window.partitionBy(*keys).orderBy("pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     last = F.coalesce(F.max(F.when(T.is_determiner("tag", tagset), F.col("pos"))).over(before), F.lit(-1))
-    rows = tokens.withColumn("_last", last)
+    (name,) = fresh(tokens, "last")
+    rows = tokens.withColumn(name, last)
     # only the tags since the last determiner are gathered
-    run = Window.partitionBy(*keys, "_last").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("tags_since_dt", F.array_join(F.reverse(F.collect_list("tag").over(run)), "-")).drop("_last")
+    run = Window.partitionBy(*keys, name).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("tags_since_dt", F.array_join(F.reverse(F.collect_list("tag").over(run)), "-")).drop(name)
 
 
-def features(tokens: DataFrame, *keys: str, tagset: T.TagSet = T.RAW) -> DataFrame:
-    """``(keys, pos, feature, value)``: the six features of each tagged token."""
+def features(tokens: DataFrame, *keys: str, tagset: T.TagSet = T.RAW, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(keys, pos, feature, value)``: the six features of each tagged token; columns to ``keep`` come along."""
     w = Window.partitionBy(*keys).orderBy("pos")
     prev = F.coalesce(F.lag("tag").over(w), F.lit(tagset.start))
     after = F.coalesce(F.lead("tag").over(w), F.lit(tagset.end))
-    t = tags_since_determiner(tokens, *keys, tagset=tagset).withColumn("_p", prev).withColumn("_n", after)
-    named = [("pos", F.col("tag")), ("word", F.col("token")), ("prevpos", F.col("_p")), ("prevpos+pos", F.concat_ws("+", "_p", "tag")), ("pos+nextpos", F.concat_ws("+", "tag", "_n")), ("since", F.col("tags_since_dt"))]
-    return t.select(*keys, "pos", F.explode(F.array(*[F.concat(F.lit(f"{n}="), c) for n, c in named])).alias("feature"), F.lit(1).alias("value"))
+    p, n = fresh(tokens, "prev", "next")
+    t = tags_since_determiner(tokens, *keys, tagset=tagset).withColumn(p, prev).withColumn(n, after)
+    named = [("pos", F.col("tag")), ("word", F.col("token")), ("prevpos", F.col(p)), ("prevpos+pos", F.concat_ws("+", p, "tag")), ("pos+nextpos", F.concat_ws("+", "tag", n)), ("since", F.col("tags_since_dt"))]
+    return t.select(*keys, "pos", *keep, F.explode(F.array(*[F.concat(F.lit(f"{n}="), c) for n, c in named])).alias("feature"), F.lit(1).alias("value"))
 
 
 def features_of(tokens: list[str], tags: list[str], tagset: T.TagSet = T.RAW) -> list[list[str]]:
@@ -59,23 +62,28 @@ def predict(tokens: DataFrame, weights: DataFrame, *keys: str, tagset: T.TagSet
     labels and tokens are put side by side, so later labels move to the left and
     the last tokens vanish.
     """
-    best = P.predict(features(tokens, *keys, tagset=tagset), weights, *keys, "pos").withColumnRenamed("class", "_c")
-    rows = tokens.join(best, [*keys, "pos"], "left").withColumn("_c", F.coalesce("_c", F.lit(OUT)))
-    label = F.col("_c") if tagset.chunks is None else F.when(F.col("_c").isin(*sorted(tagset.chunks)), F.col("_c"))
+    # all columns go through the sums, so the tokens need not be joined with what is predicted
+    keep = tuple(c for c in tokens.columns if c not in (*keys, "pos"))
+    (name,) = fresh(tokens.drop("chunk"), "class")
+    best = P.predict(features(tokens, *keys, tagset=tagset, keep=keep), weights, *keys, "pos", *keep, how="left").withColumnRenamed("class", name)
+    rows = best.withColumn(name, F.coalesce(name, F.lit(OUT)))
+    label = F.col(name) if tagset.chunks is None else F.when(F.col(name).isin(*sorted(tagset.chunks)), F.col(name))
     if not compat:
-        return rows.withColumn("chunk", F.coalesce(label, F.lit(tagset.out))).drop("_c")
-    good = rows.withColumn("_l", label).filter("_l IS NOT NULL")
+        return rows.withColumn("chunk", F.coalesce(label, F.lit(tagset.out))).drop(name)
+    (own,) = fresh(rows, "label")
+    good = rows.withColumn(own, label).filter(F.col(own).isNotNull())
     place = Window.partitionBy(*keys).orderBy("pos")
-    moved = good.select(*keys, (F.row_number().over(place) - 1).alias("pos"), F.col("_l").alias("chunk"))
-    return tokens.join(moved, [*keys, "pos"])
+    moved = good.select(*keys, (F.row_number().over(place) - 1).alias("pos"), F.col(own).alias("chunk"))
+    return tokens.drop("chunk").join(moved, [*keys, "pos"])
 
 
 def with_islands(tokens: DataFrame, *keys: str, out: str = OUT) -> DataFrame:
     """Token rows with ``chunk_id``: runs of equal ``chunk`` labels, numbered in order; null outside of chunks."""
     w = Window.partitionBy(*keys).orderBy("pos")
     new = F.when(F.col("chunk") != out, F.when(F.coalesce(F.lag("chunk").over(w), F.lit(out)) == F.col("chunk"), 0).otherwise(1)).otherwise(0)
-    rows = tokens.withColumn("_n", new)
-    return rows.withColumn("chunk_id", F.when(F.col("chunk") != out, F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))).drop("_n")
+    (name,) = fresh(tokens, "new")
+    rows = tokens.withColumn(name, new)
+    return rows.withColumn("chunk_id", F.when(F.col("chunk") != out, F.sum(name).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))).drop(name)
 
 
 def iob_chunks(rows: DataFrame, *keys: str, compat: bool = False) -> DataFrame:
@@ -87,10 +95,11 @@ def iob_chunks(rows: DataFrame, *keys: str, compat: bool = False) -> DataFrame:
     """
     w = Window.partitionBy(*keys).orderBy("pos")
     head = (F.col("iob") == "B") | ((F.col("iob") == "I") & (F.coalesce(F.lag("iob").over(w), F.lit("O")) == "O"))
-    marked = rows.withColumn("_h", head).withColumn("chunk_id", F.when(F.col("iob") != "O", F.sum(F.col("_h").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")))
-    first = F.first(F.when(F.col("_h"), F.col("chunk")), ignorenulls=True).over(Window.partitionBy(*keys, "chunk_id"))
+    (h,) = fresh(rows, "head")
+    marked = rows.withColumn(h, head).withColumn("chunk_id", F.when(F.col("iob") != "O", F.sum(F.col(h).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")))
+    first = F.first(F.when(F.col(h), F.col("chunk")), ignorenulls=True).over(Window.partitionBy(*keys, "chunk_id"))
     marked = marked.withColumn("chunk", F.when(F.col("chunk_id").isNotNull(), first).otherwise(F.lit(OUT)))
-    return (marked.filter(~F.col("_h")) if compat else marked).drop("_h")
+    return (marked.filter(~F.col(h)) if compat else marked).drop(h)
 
 
 def spans(tokens: DataFrame, *keys: str) -> DataFrame:
@@ -155,7 +164,12 @@ class Chunker:
     backoff = None
 
     def __init__(self, weights: DataFrame, tagset: T.TagSet = T.CONLL, iterations: int = G.ITERATIONS, seed: int = 0):
-        self.weights, self.tagset, self.iterations, self.seed = weights, tagset, iterations, seed
+        """``weights`` has rows of ``perceptron.WEIGHTS``, or of ``perceptron.STATE`` to train on from where it stopped."""
+        self.state, self.tagset, self.iterations, self.seed = weights, tagset, iterations, seed
+
+    @property
+    def weights(self) -> DataFrame:
+        return P.weights_only(self.state)
 
     def transform(self, tokens: DataFrame, *keys: str) -> DataFrame:
         """Token rows with ``chunk`` and ``chunk_id``."""
@@ -172,10 +186,10 @@ class Chunker:
             for s in many:
                 f = features_of([t["token"] for t in s], [t["tag"] for t in s], tagset)
                 examples.append([(x, t["chunk"]) for x, t in zip(f, s)])
-            return P.train(examples, iterations, seed, OUT, P.Perceptron(start)).rows()
+            return P.train(examples, iterations, seed, OUT, start.value.copy()).state()
 
-        start = P.Perceptron.of(self.weights).weights
-        return Chunker(P.fit_in_one_task(sentences, fold).cache(), tagset, iterations, seed)
+        start = tokens.sparkSession.sparkContext.broadcast(P.Perceptron.of(self.state))
+        return Chunker(P.fit_in_one_task(sentences, fold, P.STATE).cache(), tagset, iterations, seed)
 
     def chunk_text(self, tagger: G.Tagger, df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         """``(key, text)``: the bracketed chunks of texts, tagged by a tagger."""
@@ -184,7 +198,7 @@ class Chunker:
         return shown.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sent_id", "text"))), lambda x: x["text"]), " ").alias("text"))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        M.save(spark, path, {"kind": self.kind, "tagset": self.tagset.name, "iterations": self.iterations, "seed": self.seed}, {"weights": self.weights})
+        M.save(spark, path, {"kind": self.kind, "tagset": self.tagset.name, "iterations": self.iterations, "seed": self.seed}, {"weights": self.state})
 
 
 def new_chunker(spark: SparkSession, tagset: T.TagSet = T.CONLL, iterations: int = G.ITERATIONS, seed: int = 0) -> Chunker:

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizes import fresh, sized
+
 
 def term_rows(docs: DataFrame, terms: str = "tokens", key: str = "doc_id") -> DataFrame:
     """``(key, term)``, a row per occurrence."""
@@ -20,8 +22,22 @@ def doc_freq(docs: DataFrame, terms: str = "tokens", key: str = "doc_id") -> Dat
 
 
 def term_freq(docs: DataFrame, terms: str = "tokens", key: str = "doc_id") -> DataFrame:
-    """``(key, term, tf)``: how often each term occurs in each document."""
-    return term_rows(docs, terms, key).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """``(key, term, tf)``: how often each term occurs in each document; a row is a document.
+
+    Runs of equal terms are counted in the sorted row, so nothing is exchanged.
+    """
+    s, b, e = fresh(docs.select(key), "sorted", "begins", "entry")
+    rows = docs.select(key, F.array_sort(terms).alias(s))
+    first = F.transform(s, lambda x, i: F.when((i == 0) | ~x.eqNullSafe(F.get(s, i - 1)), i))
+    rows = rows.select(key, s, F.filter(first, lambda i: i.isNotNull()).alias(b))
+    entry = F.transform(b, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - i).cast("long").alias("tf")))
+    return rows.select(key, F.explode(entry).alias(e)).select(key, f"{e}.term", f"{e}.tf")
+
+
+def frequencies(docs: DataFrame, terms: str = "tokens", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """``term_freq`` and ``doc_freq`` of the same documents, the second counted from the first."""
+    tf = term_freq(docs, terms, key)
+    return tf, tf.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def add_documents(df: DataFrame, n_docs: int, docs: DataFrame, terms: str = "tokens", compat: bool = False) -> tuple[DataFrame, Column]:
@@ -51,6 +67,10 @@ def idf(df: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def tf_idf(tf: DataFrame, df: DataFrame, counts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, term, weight)``; a term that the corpus hasn't has document frequency 0."""
-    rows = tf.join(df, "term", "left").crossJoin(F.broadcast(counts))
+    """``(key, term, weight)``; a term that the corpus hasn't has document frequency 0.
+
+    The frequencies are counted first; where they are small enough to be sent to
+    all tasks, the documents' terms are not exchanged.
+    """
+    rows = tf.join(sized(df), "term", "left").crossJoin(F.broadcast(counts))
     return rows.select(key, "term", (F.col("tf") * idf_value(F.col("n_docs"), F.coalesce("df", F.lit(0)))).alias("weight"))

@@ -12,15 +12,12 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sizes import sized
+
 WEIGHTS = "feature string, class string, weight double"
 STATE = "feature string, class string, weight double, total double, tstamp long"
-#: Weight tables below this many rows are sent to all tasks; larger ones are joined by a shuffle.
-SMALL = 2_000_000
-
-
-def sized(weights: DataFrame, small: int = SMALL) -> DataFrame:
-    """The table with a broadcast hint if it is small enough."""
-    return F.broadcast(weights) if weights.limit(small + 1).count() <= small else weights
+#: The most weights of a model that is held in memory, for training and decoding in sequence.
+HELD = 20_000_000
 
 
 def round_half_even(x: Column, digits: int) -> Column:
@@ -35,19 +32,23 @@ def averaged(state: DataFrame, instances: int) -> DataFrame:
     return state.select("feature", "class", round_half_even(mean, 3).alias("weight")).filter("weight <> 0")
 
 
-def scores(features: DataFrame, weights: DataFrame, *keys: str) -> DataFrame:
-    """``(keys, class, score)`` of items given as rows ``(keys, feature, value)``; only values above 0 count."""
-    rows = features.filter("value > 0").join(sized(weights), "feature")
+def scores(features: DataFrame, weights: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """``(keys, class, score)`` of items given as rows ``(keys, feature, value)``; only values above 0 count.
+
+    With ``how="left"`` an item has a row of no class for its unknown features.
+    """
+    rows = features.filter("value > 0").join(sized(weights.select("feature", "class", "weight")), "feature", how)
     return rows.groupBy(*keys, "class").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
 
 
-def predict(features: DataFrame, weights: DataFrame, *keys: str) -> DataFrame:
-    """``(keys, class)`` of the best class; items without any known feature have no row.
+def predict(features: DataFrame, weights: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """``(keys, class)`` of the best class; items without any known feature have no row, or with ``how="left"`` no class.
 
-    Scores are rounded to six digits, beyond which weights of three digits carry nothing.
+    Scores are rounded to six digits, beyond which weights of three digits carry
+    nothing. Rows that lie together by some of the keys are not exchanged.
     """
-    best = F.struct((-F.round("score", 6)).alias("s"), F.col("class"))
-    return scores(features, weights, *keys).groupBy(*keys).agg(F.min(best)["class"].alias("class"))
+    best = F.when(F.col("class").isNotNull(), F.struct((-F.round("score", 6)).alias("s"), F.col("class")))
+    return scores(features, weights, *keys, how=how).groupBy(*keys).agg(F.min(best)["class"].alias("class"))
 
 
 class Perceptron:
@@ -64,7 +65,7 @@ class Perceptron:
         for f in features:
             for c, w in self.weights.get(f, {}).items():
                 score[c] += w
-        return min(score, key=lambda c: (-score[c], c)) if score else None
+        return min(score, key=lambda c: (-round(score[c], 6), c)) if score else None
 
     def update(self, truth: str, guess: str, features: Iterable[str]) -> None:
         """One step. Only a right guess counts as an instance; a wrong one takes the next number as its time."""
@@ -94,15 +95,36 @@ class Perceptron:
     def rows(self) -> list[tuple[str, str, float]]:
         return [(f, c, w) for f, own in sorted(self.weights.items()) for c, w in sorted(own.items())]
 
-    def state(self) -> list[tuple[str, str, float, float, int]]:
-        return [(f, c, w, self.totals.get((f, c), 0.0), self.tstamps.get((f, c), 0)) for f, c, w in self.rows()]
+    def state(self) -> list[tuple[str, str, float | None, float | None, int | None]]:
+        """Rows of STATE; a weight that averaging dropped is null, but its total stays."""
+        known = {(f, c) for f, own in self.weights.items() for c in own} | set(self.totals)
+        return [(f, c, self.weights.get(f, {}).get(c), self.totals.get((f, c)), self.tstamps.get((f, c))) for f, c in sorted(known)]
 
     @classmethod
-    def of(cls, weights: DataFrame) -> "Perceptron":
-        out: dict[str, dict[str, float]] = {}
-        for f, c, w in weights.select("feature", "class", "weight").toLocalIterator():
-            out.setdefault(f, {})[c] = w
-        return cls(out)
+    def of(cls, table: DataFrame) -> "Perceptron":
+        """The model of rows of WEIGHTS or STATE, as it was between two trainings."""
+        if table.limit(HELD + 1).count() > HELD:
+            raise ValueError(f"a model of more than {HELD} weights is not held in memory")
+        p = cls()
+        full = "total" in table.columns
+        for f, c, w, *rest in table.select("feature", "class", "weight", *(["total", "tstamp"] if full else [])).toLocalIterator():
+            if w is not None:
+                p.weights.setdefault(f, {})[c] = w
+            if full and rest[0] is not None:
+                p.totals[f, c] = rest[0]
+            if full and rest[1] is not None:
+                p.tstamps[f, c] = rest[1]
+        return p
+
+    def copy(self) -> "Perceptron":
+        p = Perceptron({f: dict(own) for f, own in self.weights.items()}, self.instances)
+        p.totals, p.tstamps = dict(self.totals), dict(self.tstamps)
+        return p
+
+
+def weights_only(table: DataFrame) -> DataFrame:
+    """The rows of WEIGHTS in a table of WEIGHTS or STATE."""
+    return table.filter("weight IS NOT NULL").select("feature", "class", "weight")
 
 
 def shuffled(items: list, iterations: int, seed: int) -> list:
