@@ -315,7 +315,7 @@ def _score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = sent.value
         names = np.array([*m.langs, None], object)
-        for part in X.slices(batches, chars=4 * X.CHARS):
+        for part in X.slices(batches, chars=2 * X.CHARS):
             score, letters = m.text_scores(part.column(1).to_pylist())
             if m.langs:
                 best = score.argmax(1)
@@ -344,7 +344,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = sent.value
-        for part in X.slices(batches, docs_text, 4 * X.CHARS):
+        for part in X.slices(batches, docs_text, 2 * X.CHARS):
             score, letters = m.text_scores(part.column(place).to_pylist())
             top = score.max(1) if m.langs else np.zeros(len(letters))
             yield part.filter(pa.array(m.accept(top, letters)))

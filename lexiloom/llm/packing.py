@@ -36,7 +36,7 @@ def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id, n_tokens)`` of every document."""
 
     def run(batches):
-        for part in X.slices(batches, chars=4 * X.CHARS):
+        for part in X.slices(batches, chars=2 * X.CHARS):
             codes, offs = X.flat(part.column(1).to_pylist())
             n = encoder(vocabulary).lengths(codes, offs)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n)], ["doc_id", "n_tokens"])

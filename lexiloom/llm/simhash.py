@@ -172,32 +172,33 @@ def _grouped(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]
     spark = docs.sparkSession
     sig = X.cut(signatures(docs))
     hashed = ["h0", "h1", "h2", "h3"]
-    same = X.cut(sig.groupBy(*hashed).agg(F.min(F.struct("doc_id", "rid")).alias("r")).select("r.*", *hashed))
+    several = (F.min("doc_id") < F.max("doc_id")) | (F.min("rid") < F.max("rid"))
+    # distinct hashes are numbered once they are written, so that numbers stay
+    same = X.cut(sig.groupBy(*hashed).agg(several.alias("several"))).withColumn("node", F.monotonically_increasing_id())
     n = same.count()
     k = max(1, math.isqrt(4 * X.partitions(spark)), -(-n // block))
     # each hash goes to its block's pairs with all blocks
     put = same.withColumn("b", F.pmod(F.xxhash64(*hashed), F.lit(k)).cast("int"))
-    pairs = put.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("o")).select(F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "doc_id", "rid", *hashed)
+    pairs = put.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("o")).select(F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "node", *hashed)
     tasks = max(1, min(k * (k + 1) // 2, 4 * X.partitions(spark)))
 
     def near(table: pa.Table) -> pa.Table:
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         b = table.column("b").to_numpy()
+        node = table.column("node").to_numpy()
         h = np.stack([table.column(c).to_numpy().view(np.uint64) for c in hashed], 1)
         i = np.flatnonzero(b == x)
         j = i if x == y else np.flatnonzero(b == y)
         p, q = compare(h[i], h[j], x == y)
-        u, v = (np.array(e, np.int64) for e in forest(i[p], j[q]))
-        return pa.table({f"{c}{s}": table.column(c).take(pa.array(e)) for s, e in (("u", u), ("v", v)) for c in ("doc_id", "rid")})
-
-    def node(doc: str, rid: str, name: str):
-        return F.struct(F.col(doc).alias("doc_id"), F.col(rid).alias("rid")).alias(name)
-
-    found = pairs.repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(near, "doc_idu long, ridu long, doc_idv long, ridv long")
-    found = found.select(node("doc_idu", "ridu", "u"), node("doc_idv", "ridv", "v"))
-    # documents of an equal hash belong together
-    equal = sig.join(same.withColumnsRenamed({"doc_id": "d", "rid": "r"}), hashed).select(node("doc_id", "rid", "u"), node("d", "r", "v")).filter("u <> v")
-    return sig, components(found.unionByName(equal)).select("node.*", F.col("root.doc_id").alias("group_id"), (F.col("node") == F.col("root")).cast("int").alias("keep"))
+        u, v = forest(node[i[p]], node[j[q]])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    found = components(pairs.repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(near, "u long, v long"))
+    # hashes that are near to others, or that several documents have
+    some = same.join(found, "node", "left").filter("root IS NOT NULL OR several").select(*hashed, F.coalesce("root", "node").alias("root"))
+    members = X.cut(sig.join(some, hashed).select("doc_id", "rid", "root").distinct())
+    least = members.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("least"))
+    return sig, members.join(least, "root").select("doc_id", "rid", F.col("least.doc_id").alias("group_id"), (F.struct("doc_id", "rid") == F.col("least")).cast("int").alias("keep"))
 
 
 def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
