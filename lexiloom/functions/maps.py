@@ -20,9 +20,11 @@ def lookup(m, key, default) -> Column:
 
 def from_entries(entries) -> Column:
     """A map of ``array<struct<key, value>>``; of equal keys the last one counts."""
-    e = _c(entries)
-    last = F.filter(F.transform(e, lambda x, i: F.struct(x["key"].alias("key"), x["value"].alias("value"), i.alias("i"))), lambda x: x["i"] == F.array_max(F.transform(F.filter(F.transform(e, lambda y, j: F.struct(y["key"].alias("key"), j.alias("j"))), lambda y: y["key"] == x["key"]), lambda y: y["j"])))
-    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"], x["value"])))
+    placed = F.transform(_c(entries), lambda x, i: F.struct(x["key"].alias("key"), i.alias("i"), x["value"].alias("value")))
+    ordered = F.array_sort(placed, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(a["i"] - b["i"]))
+    # of neighbours with equal keys only the last is not followed by its key
+    runs = F.zip_with(ordered, F.slice(ordered, F.lit(2), F.greatest(F.size(ordered) - 1, F.lit(0))), lambda x, y: F.when(y.isNull() | (x["key"] != y["key"]), x))
+    return F.map_from_entries(F.transform(F.filter(runs, lambda x: x.isNotNull()), lambda x: F.struct(x["key"], x["value"])))
 
 
 def keys(m) -> Column:

@@ -115,6 +115,10 @@ def _protector(terms: list[str], case_sensitive: bool) -> re.Pattern | None:
     return re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, some)) + r")(?!\w)", 0 if case_sensitive else re.I)
 
 
+#: A word character, as Python has it.
+_WORD = r"[\p{L}\p{N}_]"
+
+
 def protect_pieces(text: str, terms: list[str], case_sensitive: bool = True) -> list[tuple[bool, str]]:
     """(protected?, piece) of a text; the longest term that begins at a place is taken."""
     pattern = _protector(terms, case_sensitive)
@@ -128,18 +132,19 @@ def protect_pieces(text: str, terms: list[str], case_sensitive: bool = True) ->
 def protect_terms(text, terms: list[str], case_sensitive: bool = True, split: bool = True) -> Column:
     """Tokens of a text in which each term stays one token; with ``split=False`` the pieces between stay whole.
 
-    Terms stand between characters that are no word characters. Without terms this is ``tokenize``.
+    Terms stand between characters that are no word characters, in any script. Without terms this is ``tokenize``.
     """
     pattern = _protector(terms, case_sensitive)
     text = _c(text)
     if pattern is None:
         return tokenize(text) if split else F.filter(F.array(text), lambda t: t != "")
-    flags = "" if case_sensitive else "(?i)"
+    flags = "(?s)" if case_sensitive else "(?isu)"
     body = "|".join(_quoted(t) for t in sorted({t for t in terms if t}, key=lambda t: (-len(t), t)))
-    marked = F.regexp_replace(text, rf"{flags}(?<!\w)({body})(?!\w)", "\u0001\u0002$1\u0001")
-    parts = F.filter(F.split(marked, "\u0001"), lambda p: p != "")
-    own = lambda p: F.array(F.substring(p, 2, 1 << 30))
-    return F.flatten(F.transform(parts, lambda p: F.when(p.startswith("\u0002"), own(p)).otherwise(tokenize(p) if split else F.array(p))))
+    # each match is what lies before a term, and the term; the last one has no term
+    piece = F.lit(rf"{flags}(.*?)(?:(?<!{_WORD})({body})(?!{_WORD})|\z)")
+    between, term = (F.regexp_extract_all(text, piece, F.lit(i)) for i in (1, 2))
+    some = lambda p: F.filter(F.array(p), lambda x: x != "")
+    return F.flatten(F.zip_with(between, term, lambda a, b: F.concat(tokenize(a) if split else some(a), some(b))))
 
 
 def _quoted(term: str) -> str:

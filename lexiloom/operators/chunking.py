@@ -62,15 +62,18 @@ def predict(tokens: DataFrame, weights: DataFrame, *keys: str, tagset: T.TagSet
     labels and tokens are put side by side, so later labels move to the left and
     the last tokens vanish.
     """
-    # all columns go through the sums, so the tokens need not be joined with what is predicted
-    keep = tuple(c for c in tokens.columns if c not in (*keys, "pos"))
-    (name,) = fresh(tokens.drop("chunk"), "class")
-    best = P.predict(features(tokens, *keys, tagset=tagset, keep=keep), weights, *keys, "pos", *keep, how="left").withColumnRenamed("class", name)
+    kept = [c for c in tokens.columns if c not in (*keys, "pos", "chunk")]
+    name, packed = fresh(tokens, "label_", "kept")
+    if any("map<" in kind for _, kind in tokens.dtypes):  # no map can be grouped by
+        best = tokens.drop("chunk").join(P.predict(features(tokens, *keys, tagset=tagset), weights, *keys, "pos").withColumnRenamed("class", name), [*keys, "pos"], "left")
+    else:  # all columns go through the sums, so the tokens need not be joined with what is predicted
+        rows = tokens.withColumn(packed, F.struct(*kept))
+        best = P.predict(features(rows, *keys, tagset=tagset, keep=(packed,)), weights, *keys, "pos", packed, how="left").withColumnRenamed("class", name).select(*keys, "pos", f"{packed}.*", name)
     rows = best.withColumn(name, F.coalesce(name, F.lit(OUT)))
     label = F.col(name) if tagset.chunks is None else F.when(F.col(name).isin(*sorted(tagset.chunks)), F.col(name))
     if not compat:
         return rows.withColumn("chunk", F.coalesce(label, F.lit(tagset.out))).drop(name)
-    (own,) = fresh(rows, "label")
+    (own,) = fresh(rows, "good")
     good = rows.withColumn(own, label).filter(F.col(own).isNotNull())
     place = Window.partitionBy(*keys).orderBy("pos")
     moved = good.select(*keys, (F.row_number().over(place) - 1).alias("pos"), F.col(own).alias("chunk"))
@@ -217,9 +220,10 @@ def noun_phrases(tokens: DataFrame, *keys: str, heads: tuple[str, ...] = ("NN",
 
 
 def column_of(tokens: DataFrame, *keys: str) -> DataFrame:
-    """Tagged sentences with their chunk labels, one row per sentence."""
-    t = F.sort_array(F.collect_list(F.struct("pos", "token", "tag", "chunk")))
-    return tokens.groupBy(*keys).agg(F.transform(t, lambda x: F.struct(x["token"], x["tag"], x["chunk"])).alias("chunked"))
+    """Tagged sentences with their chunk labels, and the numbers of chunks where there are any, one row per sentence."""
+    names = ["token", "tag", "chunk", *(["chunk_id"] if "chunk_id" in tokens.columns else [])]
+    t = F.sort_array(F.collect_list(F.struct("pos", *names)))
+    return tokens.groupBy(*keys).agg(F.transform(t, lambda x: F.struct(*(x[n].alias(n) for n in names))).alias("chunked"))
 
 
 def exists_chunk(chunked: str | Column, label: str) -> Column:

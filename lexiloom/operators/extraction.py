@@ -51,6 +51,16 @@ class Parser:
         return Parser(run)
 
 
+class Item(NamedTuple):
+    """An element of a chunked sentence: a token, or with ``chunk`` a whole chunk, whose text and label stand for token and tag."""
+
+    token: str
+    tag: str
+    chunk: bool
+    start: int
+    stop: int
+
+
 class Node(NamedTuple):
     """A chunk, or with ``children`` None a token, over the places start to stop."""
 
@@ -143,13 +153,40 @@ def satisfy(test: Callable[[str, str], bool], name: str) -> Parser:
     """One token for which ``test(token, tag)`` holds."""
 
     def run(s, i):
-        if i < len(s) and test(*s[i]):
-            return Result(True, True, Node(s[i][1], i, i + 1, None), i + 1)
+        if i < len(s) and not (len(s[i]) > 2 and s[i].chunk) and test(*s[i][:2]):
+            a, b = (i, i + 1) if len(s[i]) == 2 else s[i][3:]
+            return Result(True, True, Node(s[i][1], a, b, None), i + 1)
         return Result(False, False, f"expected {name} at {i}", i)
 
     return Parser(run)
 
 
+def chunk_is(label: str | None = None) -> Parser:
+    """One chunk of a chunked sentence, with this label or with any."""
+
+    def run(s, i):
+        if i < len(s) and len(s[i]) > 2 and s[i].chunk and label in (None, s[i].tag):
+            return Result(True, True, Node(s[i].tag, s[i].start, s[i].stop, ()), i + 1)
+        return Result(False, False, f"expected chunk {label or ''} at {i}", i)
+
+    return Parser(run)
+
+
+def items(tokens: list[dict]) -> list[Item]:
+    """The elements of a chunked sentence of rows ``(token, tag, chunk, chunk_id)``."""
+    out: list[Item] = []
+    last = None
+    for i, t in enumerate(tokens):
+        if t["chunk_id"] is None:
+            out.append(Item(t["token"], t["tag"], False, i, i + 1))
+        elif t["chunk_id"] == last:
+            out[-1] = out[-1]._replace(token=f"{out[-1].token} {t['token']}", stop=i + 1)
+        else:
+            out.append(Item(t["token"], t["chunk"], True, i, i + 1))
+        last = t["chunk_id"]
+    return out
+
+
 def tag_is(tag: str) -> Parser:
     return satisfy(lambda _, t: t == tag, f"tag {tag}")
 
@@ -236,7 +273,9 @@ def extract(tagged: str | Column, make: Callable[[], Parser], everywhere: bool =
     """The struct RESULT of a pattern over a tagged-sentence column.
 
     At the sentence's start, or with ``everywhere`` at all places (``label`` and
-    the places are then the first match's). A null sentence gives null.
+    the places are then the first match's). A sentence whose structs have a
+    ``chunk_id`` (``chunking.column_of``) is read as its chunks and the tokens
+    between them. A null sentence gives null.
     """
 
     @F.arrow_udf(RESULT)
@@ -246,7 +285,7 @@ def extract(tagged: str | Column, make: Callable[[], Parser], everywhere: bool =
             if s is None:
                 out.append(None)
                 continue
-            pairs = [(t["token"], t["tag"]) for t in s]
+            pairs = items(s) if s and "chunk_id" in s[0] else [(t["token"], t["tag"]) for t in s]
             if everywhere:
                 nodes, error = search_all(p, pairs), None
             else:

@@ -59,8 +59,7 @@ s AS (SELECT doc_id, unnest(range(len(ss))) AS sent_id, unnest(ss) AS sentence F
 ts AS (SELECT doc_id, sent_id, {TOKENS} AS ts FROM s),
 tok AS (SELECT doc_id, sent_id, unnest(range(len(ts))) AS pos, unnest(ts) AS token FROM ts),
 tt AS (SELECT *, {TAG} AS tag FROM tok)"""
-#: A sentence as one line of token/TAG words.
-LINES = BASE + ", ln AS (SELECT doc_id, sent_id, string_agg(token || '/' || tag, ' ' ORDER BY pos) AS line FROM tt GROUP BY ALL)"
+PRINTED = f"array_to_string(list_transform(ts, lambda token: token || '/' || {TAG}), ' ')"
 
 
 def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,26 +135,39 @@ def _(spark, d):
     return t.select(*PLACE, X.contains("tagged", "the").alias("has_token"), F.exists("tagged", lambda x: X.matches(x["token"], "the", False)).alias("has_word"), X.length("tagged").alias("n"))
 
 
-@query("contains_tag", BASE + " SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, bool_or(tag = 'VBG') AS has_tag FROM tt GROUP BY doc_id, sent_id")
+@query("contains_tag", BASE + f" SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, len(list_filter(ts, lambda token: {TAG} = 'VBG')) > 0 AS has_tag FROM ts")
 def _(spark, d):
-    return tagged_sentences(spark, d).filter(F.size("tagged") > 0).select(*PLACE, X.contains_tag("tagged", "VBG").alias("has_tag"))
+    return tagged_sentences(spark, d).select(*PLACE, X.contains_tag("tagged", "VBG").alias("has_tag"))
 
 
-@query("print_tagged_sentence", LINES + " SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, line FROM ln")
+@query("print_tagged_sentence", BASE + f" SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, {PRINTED} AS line FROM ts")
 def _(spark, d):
-    return printed(spark, d).filter("line <> ''")
+    return printed(spark, d)
 
 
-@query("strip_and_apply_tags", BASE + " SELECT doc_id, string_agg(token, ' ' ORDER BY sent_id, pos) AS tokens, string_agg(tag, ' ' ORDER BY sent_id, pos) AS tags, count(*) AS n FROM tt GROUP BY doc_id")
+@query("strip_and_apply_tags", BASE + " SELECT doc_id, coalesce(string_agg(token, ' ' ORDER BY sent_id, pos), '') AS tokens, coalesce(string_agg(tag, ' ' ORDER BY sent_id, pos), '') AS tags, count(token) AS n FROM s LEFT JOIN tt USING (doc_id, sent_id) GROUP BY doc_id")
 def _(spark, d):
     t = tagged_sentences(spark, d).withColumn("tagged", X.apply_tags(X.strip_tags("tagged"), X.only_tags("tagged")))
     all_ = t.groupBy("doc_id").agg(X.concat_sentences(F.transform(F.sort_array(F.collect_list(F.struct("sent_id", "tagged"))), lambda x: x["tagged"])).alias("t"))
-    return all_.select("doc_id", F.array_join(X.strip_tags("t"), " ").alias("tokens"), F.array_join(X.only_tags("t"), " ").alias("tags"), X.length("t").cast("long").alias("n")).filter("n > 0")
+    return all_.select("doc_id", F.array_join(X.strip_tags("t"), " ").alias("tokens"), F.array_join(X.only_tags("t"), " ").alias("tags"), X.length("t").cast("long").alias("n"))
 
 
-@query("protect_terms")
+#: Text in runs of word characters and of others; a protected term is one such run, or three.
+PROTECTED = r"""WITH r AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS r FROM documents),
+u AS (SELECT doc_id, unnest(range(1, len(r) + 1)) AS i, r FROM r),
+m AS (SELECT doc_id, i, r[i] AS x, len(r) >= i + 2 AND list_contains(['of the', 'in the', 'est la', 'der die'], lower(r[i] || r[i + 1] || r[i + 2])) AS three, list_contains(['the', 'é', 'ü'], lower(r[i])) AS one FROM u),
+k AS (SELECT doc_id, i, x, CASE WHEN three THEN i WHEN lag(three, 1, false) OVER o THEN i - 1 WHEN lag(three, 2, false) OVER o THEN i - 2 WHEN one THEN i END AS head FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, x, head, sum(CASE WHEN head IS NULL AND i > 1 AND lag(head) OVER o IS NULL THEN 0 WHEN head < i THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, part, bool_or(head IS NOT NULL) AS own, string_agg(x, '' ORDER BY i) AS sentence FROM g GROUP BY doc_id, part)"""
+
+
+@query(
+    "protect_terms",
+    PROTECTED.replace("sum(CASE WHEN head IS NULL AND i > 1 AND lag(head) OVER o IS NULL THEN 0 WHEN head < i THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i)", "sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM (SELECT *, CASE WHEN head IS NULL AND i > 1 AND lag(head) OVER o IS NULL THEN 0 WHEN head < i THEN 0 ELSE 1 END AS new FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i))")
+    + f", z AS (SELECT doc_id, part, CASE WHEN own THEN [sentence] ELSE {TOKENS} END AS t FROM p), y AS (SELECT doc_id, part, t FROM z WHERE len(t) > 0) SELECT doc_id, coalesce(tokens, '') AS tokens FROM (SELECT doc_id FROM documents) LEFT JOIN (SELECT doc_id, string_agg(array_to_string(t, '|'), '|' ORDER BY part) AS tokens FROM y GROUP BY doc_id) USING (doc_id)",
+)
 def _(spark, d):
-    terms = ["of the", "in the", "est la", "der die", "the"]
+    terms = ["of the", "in the", "est la", "der die", "the", "É", "ü"]
     return read(spark, d, "documents").select("doc_id", F.array_join(X.protect_terms("text", terms, False), "|").alias("tokens"))
 
 
@@ -167,7 +179,7 @@ VEC = TF + ", v AS (SELECT doc_id, term, tf * ln((1.0 + n) / (2.0 + df)) AS weig
 
 def tf_df(spark, d):
     docs = word_docs(spark, d)
-    return C.term_freq(docs), C.doc_freq(docs), C.document_count(docs)
+    return *C.frequencies(docs), C.document_count(docs)
 
 
 @query("term_freq", TF + " SELECT doc_id, term, tf FROM tf")
@@ -177,7 +189,7 @@ def _(spark, d):
 
 @query("doc_freq", TF + " SELECT term, df FROM df")
 def _(spark, d):
-    return tf_df(spark, d)[1]
+    return C.doc_freq(word_docs(spark, d))
 
 
 @query("idf", TF + " SELECT term, df, round(ln((1.0 + n) / (2.0 + df)), 6) AS idf FROM df, n")
@@ -265,6 +277,34 @@ def _(spark, d):
     return V.negate(two_sides(spark, d)[1]).withColumn("weight", F.round("weight", 6))
 
 
+@query(
+    "cosine_search",
+    VEC + ", m AS (SELECT doc_id, sqrt(sum(weight * weight)) AS m FROM v GROUP BY doc_id), p AS (SELECT x.doc_id AS a_id, y.doc_id AS b_id, sum(x.weight * y.weight) AS dot FROM v x JOIN v y ON x.term = y.term AND x.doc_id % 100 = 0 WHERE x.weight <> 0 AND y.weight <> 0 GROUP BY ALL) SELECT a_id, b_id, round(coalesce(dot / nullif(x.m * y.m, 0), 0), 6) AS cosine FROM p JOIN m x ON x.doc_id = a_id JOIN m y ON y.doc_id = b_id",
+)
+def _(spark, d):
+    """Every document whose id is divisible by 100 against all documents."""
+    tf, df, n = tf_df(spark, d)
+    own = C.tf_idf(tf, df, n).withColumnRenamed("doc_id", "vec_id").persist()
+    return V.cosine(own, own.filter("vec_id % 100 = 0"), "b_id", "a_id").withColumn("cosine", F.round("cosine", 6))
+
+
+@query(
+    "similarity",
+    TF + f", bt AS (SELECT item_id, unnest({WORDS}) AS term FROM benchmark), bf AS (SELECT item_id, term, count(*) AS tf FROM bt GROUP BY ALL), ww AS (SELECT item_id, term, tf * ln((1.0 + n) / (2.0 + coalesce(df, 0))) AS weight FROM bf LEFT JOIN df USING (term), n), ax AS (SELECT item_id, unnest(regexp_split_to_array(upper(replace(text, 'ß', 'SS')) || ' ' || text, '\\s+')) AS term FROM benchmark), af AS (SELECT item_id, term, count(*) AS tf FROM ax WHERE term <> '' GROUP BY ALL), aw AS (SELECT item_id, term, tf * ln((1.0 + n) / (2.0 + coalesce(df, 0))) AS weight FROM af LEFT JOIN df USING (term), n), dt AS (SELECT item_id, sum(ww.weight * aw.weight) AS dot FROM ww JOIN aw USING (item_id, term) GROUP BY item_id), ma AS (SELECT item_id, sqrt(sum(weight * weight)) AS a FROM ww GROUP BY item_id), mb AS (SELECT item_id, sqrt(sum(weight * weight)) AS b FROM aw GROUP BY item_id) SELECT item_id AS pair_id, round(coalesce(dot / nullif(a * b, 0), 0), 6) AS similarity FROM benchmark LEFT JOIN dt USING (item_id) LEFT JOIN ma USING (item_id) LEFT JOIN mb USING (item_id)",
+)
+def _(spark, d):
+    """Each benchmark text beside itself with an upper-case copy, over the corpus of documents."""
+    pairs = read(spark, d, "benchmark").select(F.col("item_id").alias("pair_id"), F.col("text").alias("a"), F.concat_ws(" ", F.upper("text"), "text").alias("b"))
+    return V.similarity(pairs, word_docs(spark, d)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("vector_lookup", BOTH + ", k AS (SELECT DISTINCT term FROM bv) SELECT doc_id AS vec_id, count(*) AS n_keys, round(coalesce(max(CASE WHEN term = 'the' THEN weight END), 0), 6) AS the FROM v GROUP BY doc_id")
+def _(spark, d):
+    v = C.tf_idf(*tf_df(spark, d)).withColumnRenamed("doc_id", "vec_id")
+    v = V.add(v, V.zero(v), "vec_id")  # the zero vector changes nothing
+    return v.groupBy("vec_id").agg(F.count("*").alias("n_keys"), F.round(F.coalesce(F.max(F.when(F.col("term") == "the", F.col("weight"))), F.lit(0.0)), 6).alias("the"))
+
+
 LANGS = "WITH a AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), b AS (SELECT source, lang, max(n_chars) AS m FROM documents WHERE n_chars > 2000 GROUP BY ALL)"
 
 
@@ -357,18 +397,62 @@ def _(spark, d):
     return S.sentence_lines(iob_texts(spark, d)).groupBy("doc_id").agg(F.countDistinct("sent_id").alias("sentences"), F.count("*").alias("n_lines"))
 
 
-@query("parse_wikiner", IOB.replace("tt)", "tt WHERE token NOT LIKE '%|%')") + " SELECT doc_id, token, tag, CASE WHEN label = 'O' THEN 'O' END AS iob, label <> 'O' AS bad, count(*) AS n FROM io GROUP BY ALL")
+#: Entity labels by tag, one of them none of the set's.
+ENTITY = "CASE tag WHEN 'NN' THEN 'I-PER' WHEN 'DT' THEN 'B-LOC' WHEN 'IN' THEN 'B-ORG' WHEN 'VBG' THEN 'I-MISC' WHEN 'RB' THEN 'B-NP' ELSE 'O' END"
+
+
+def entity_label() -> Column:
+    label = F.lit("O")
+    for tag, own in (("NN", "I-PER"), ("DT", "B-LOC"), ("IN", "B-ORG"), ("VBG", "I-MISC"), ("RB", "B-NP")):
+        label = F.when(F.col("tag") == tag, own).otherwise(label)
+    return label
+
+
+@query(
+    "parse_wikiner",
+    BASE
+    + f""", l AS (SELECT doc_id, list_filter(string_split(token || '|' || tag || '|' || {ENTITY}, '|'), lambda x: x <> '') AS l FROM tt),
+e AS (SELECT doc_id, l[1] AS token, l[2] AS tag, l[3] AS label, len(l) < 3 AS few, regexp_matches(l[3], '^[BI]-') AS marked, substring(l[3], 3) IN ('PER', 'ORG', 'LOC', 'MISC') AS good FROM l),
+b AS (SELECT *, few OR (marked AND NOT good) AS bad FROM e)
+SELECT doc_id, token, tag, CASE WHEN NOT bad THEN CASE WHEN marked THEN left(label, 1) ELSE 'O' END END AS iob, CASE WHEN NOT bad AND marked THEN substring(label, 3) END AS chunk, bad, count(*) AS n FROM b GROUP BY ALL""",
+)
+def _(spark, d):
+    """Words read back with entity labels; a bar of a token's own divides it."""
+    word = F.concat_ws("|", "token", "tag", entity_label())
+    lines = tagged_rows(spark, d).groupBy(*PLACE).agg(F.array_join(F.collect_list(word), " ").alias("l")).groupBy("doc_id").agg(F.array_join(F.collect_list("l"), "\n\n").alias("text"))
+    rows = S.read_wikiner(lines).withColumn("bad", F.col("_error").isNotNull())
+    return n_by(rows, "doc_id", "token", "tag", "iob", "chunk", "bad")
+
+
+@query("entity_codec", BASE + f" SELECT label, CASE WHEN label IN ('PER', 'ORG', 'LOC', 'MISC') THEN label END AS entity, count(*) AS n FROM (SELECT substring({ENTITY}, 3) AS label FROM tt) GROUP BY ALL")
+def _(spark, d):
+    label = tagged_rows(spark, d).select(F.substring(entity_label(), 3, 9).alias("label"))
+    return n_by(label.select("label", T.parse_entity("label").alias("entity")), "label", "entity")
+
+
+@query(
+    "iob_sentence_results",
+    IOB_ROWS + ", f AS (SELECT doc_id, sent_id, count(*) AS n, min(CASE WHEN bad THEN pos END) AS first_bad FROM ir GROUP BY doc_id, sent_id) SELECT doc_id, CAST(sent_id AS BIGINT) AS sent_id, CAST(CASE WHEN first_bad IS NULL THEN n END AS INTEGER) AS n, CASE WHEN first_bad IS NOT NULL THEN 'unknown chunk: B-ZZ' END AS error FROM f",
+)
 def _(spark, d):
-    """The labels of phrases are none of this set's, so all but ``O`` are reported."""
-    return n_by(_without_bars(spark, d), "doc_id", "token", "tag", "iob", "bad")
+    """All entries of a sentence or an error."""
+    r = S.sentence_results(S.read_iob(iob_texts(spark, d), T.CONLL), *PLACE)
+    return r.select("doc_id", F.col("sent_id").cast("long"), F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("n"), "error")
+
 
+@query("iob_corpus_results", IOB_ROWS + " SELECT doc_id, CASE WHEN bool_or(bad) THEN NULL ELSE CAST(count(*) AS INTEGER) END AS n, CASE WHEN bool_or(bad) THEN 'unknown chunk: B-ZZ' END AS error FROM ir GROUP BY doc_id")
+def _(spark, d):
+    """All entries of a corpus, here a document, or an error."""
+    r = S.sentence_results(S.read_iob(iob_texts(spark, d), T.CONLL), "doc_id")
+    return r.select("doc_id", F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("n"), "error")
 
-def _without_bars(spark, d) -> DataFrame:
-    """The words read back, from tokens without a bar of their own."""
-    rows = tagged_rows(spark, d).filter(~F.col("token").contains("|"))
-    word = F.concat_ws("|", "token", "tag", iob_label())
-    lines = rows.groupBy(*PLACE).agg(F.array_join(F.collect_list(word), " ").alias("l")).groupBy("doc_id").agg(F.array_join(F.collect_list("l"), "\n\n").alias("text"))
-    return S.read_wikiner(lines).withColumn("bad", F.col("_error").isNotNull())
+
+@query("news_documents", "SELECT 'NEWS-' || doc_id AS doc_id, upper(source) AS site, text FROM documents")
+def _(spark, d):
+    """Documents written as news files, one a source, and read back."""
+    head = F.concat(F.lit("NEWS-"), F.col("doc_id").cast("string"), F.lit(" ("), F.upper("source"), F.lit(")\n"))
+    files = read(spark, d, "documents").groupBy("source").agg(F.array_join(F.collect_list(F.concat(head, "text")), "\n").alias("text"))
+    return S.news_documents(files, marker="NEWS-")
 
 
 def codec_sql(s: T.TagSet, norm: str) -> str:
@@ -448,6 +532,41 @@ def _(spark, d):
     return n_by(S.long_form(both, "tagged", *PLACE), "token", "tag")
 
 
+@query("literal_transform", COMBINED + " SELECT doc_id, token, coalesce(w.tag, 'Unk') AS tag, count(*) AS n FROM cb LEFT JOIN " + values(DICTIONARY, "term, tag") + " w ON w.term = token GROUP BY ALL")
+def _(spark, d):
+    tagger = G.LiteralTagger(dictionary(spark))
+    return n_by(S.long_form(tagger.transform(token_arrays(spark, d)).select(*PLACE, "tagged"), "tagged", *PLACE), "doc_id", "token", "tag")
+
+
+SECOND = [("is", "AUX"), ("la", "XX"), ("une", "DT"), ("das", "DT"), ("est", "VB")]
+STACKED = BASE + f", st AS (SELECT doc_id, sent_id, pos, token, tt.tag AS gold, coalesce(a.tag, b.tag, 'Unk') AS tag, coalesce(a.tag, 'Unk') AS first FROM tt LEFT JOIN {values(DICTIONARY, 'term, tag')} a ON a.term = token LEFT JOIN {values(SECOND, 'term, tag')} b ON b.term = token)"
+
+
+def stacked(spark) -> G.Tagger:
+    return G.LiteralTagger(dictionary(spark), backoff=G.LiteralTagger(spark.createDataFrame(SECOND, "term string, tag string")))
+
+
+@query("tag_text", STACKED + ", sl AS (SELECT doc_id, sent_id, string_agg(token || '/' || tag, ' ' ORDER BY pos) AS l FROM st GROUP BY doc_id, sent_id) SELECT doc_id, string_agg(coalesce(l, ''), ' ' ORDER BY sent_id) AS text FROM s LEFT JOIN sl USING (doc_id, sent_id) GROUP BY doc_id")
+def _(spark, d):
+    return stacked(spark).tag_text(read(spark, d, "documents"))
+
+
+@query("tagger_evaluate", STACKED + " SELECT round(avg(CAST(tag = gold AS INTEGER)), 6) AS accuracy, count(*) AS n_tokens, true AS backoff FROM st UNION ALL SELECT round(avg(CAST(first = gold AS INTEGER)), 6), count(*), false FROM st")
+def _(spark, d):
+    gold, tagger = tagged_sentences(spark, d), stacked(spark)
+    both = tagger.evaluate(gold).withColumn("backoff", F.lit(True)).unionByName(tagger.evaluate(gold, use_backoff=False).withColumn("backoff", F.lit(False)))
+    return both.withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("train_unambiguous", DOUBTED + f" SELECT token AS term, {AMBIGUOUS.replace('tag)', 'gold)')} FROM dt GROUP BY token")
+def _(spark, d):
+    """The first tagger of an untrained stack after its training."""
+    tagged = F.sort_array(F.collect_list(F.struct("pos", "token", F.col("gold").alias("tag"))))
+    rows = doubted(spark, d).groupBy(*PLACE).agg(F.transform(tagged, lambda x: F.struct(x["token"].alias("token"), x["tag"].alias("tag"))).alias("tagged"))
+    empty = spark.createDataFrame([], "term string, tag string")
+    return G.UnambiguousTagger(empty).fit(rows).table
+
+
 @query("tagger_eval", COMBINED + " SELECT round(avg(CAST(pred = gold AS INTEGER)), 6) AS accuracy, count(*) AS n_tokens FROM cb")
 def _(spark, d):
     gold = doubted(spark, d)
@@ -473,9 +592,9 @@ def _(spark, d):
     BASE + NEAR + f", sc AS (SELECT doc_id, sent_id, pos, class, sum(weight) AS score FROM nf JOIN {values(TAG_WEIGHTS, 'feature, class, weight')} USING (feature) GROUP BY ALL), b AS (SELECT doc_id, sent_id, pos, class, row_number() OVER (PARTITION BY doc_id, sent_id, pos ORDER BY round(score, 6) DESC, class) AS r FROM sc) SELECT token, class, count(*) AS n FROM b JOIN tok USING (doc_id, sent_id, pos) WHERE r = 1 GROUP BY ALL",
 )
 def _(spark, d):
-    tokens = token_rows(spark, d)
-    best = P.predict(G.sentence_features(token_arrays(spark, d), *PLACE), spark.createDataFrame(TAG_WEIGHTS, P.WEIGHTS), *PLACE, "pos")
-    return n_by(best.join(tokens, [*PLACE, "pos"]), "token", "class")
+    sentences = token_arrays(spark, d).repartition(*PLACE)  # the only exchange of tokens
+    features = G.sentence_features(sentences, *PLACE, with_token=True)
+    return n_by(P.predict(features, spark.createDataFrame(TAG_WEIGHTS, P.WEIGHTS), *PLACE, "pos", "token"), "token", "class")
 
 
 STATE_SQL = TF + ", st AS (SELECT term AS feature, 'C' || CAST(df % 3 AS VARCHAR) AS class, CAST(df % 11 - 5 AS DOUBLE) AS weight, df * 1.5 AS total, df % 17 AS tstamp FROM df)"
@@ -488,9 +607,22 @@ def _(spark, d):
     return P.averaged(state, 1000)
 
 
-@query("pos_tag_perceptron")
+#: The best class of one place, with what the tags before add.
+BEST = """list_sort(list_transform(x.s || CASE WHEN a.p = 'NN' AND a.q = 'DT' THEN [{'c': 'VBZ', 's': CAST(0.25 AS DOUBLE)}] ELSE [] END,
+lambda y: {'k': -round(y.s + CASE WHEN y.c = 'NN' AND a.p = 'DT' THEN 0.5 ELSE 0 END, 6), 'c': y.c}))[1].c"""
+HISTORY = [("p1t=DT", "NN", 0.5), ("p12t=NN DT", "VBZ", 0.25)]
+#: A fold over each sentence: the scores without history are lists, the state has the two tags before and the tags so far.
+DECODED = BASE + NEAR + f""", sc AS (SELECT doc_id, sent_id, pos, class, sum(weight) AS score FROM nf JOIN {values(TAG_WEIGHTS, 'feature, class, weight')} USING (feature) GROUP BY ALL),
+ls AS (SELECT doc_id, sent_id, pos, list({{'c': class, 's': score}}) AS s FROM sc GROUP BY doc_id, sent_id, pos),
+sn AS (SELECT doc_id, sent_id, list({{'t': '', 'p': '', 'q': '', 's': s}} ORDER BY pos) AS xs FROM ls GROUP BY doc_id, sent_id),
+fd AS (SELECT doc_id, sent_id, list_reduce(list_prepend({{'t': '', 'p': '-START-', 'q': '-START2-', 's': xs[1].s}}, xs), lambda a, x:
+struct_pack(t := a.t || ' ' || {BEST}, p := {BEST}, q := a.p, s := x.s)) AS r FROM sn),
+tg AS (SELECT doc_id, sent_id, string_split(substring(r.t, 2), ' ') AS tags FROM fd)"""
+
+
+@query("pos_tag_perceptron", DECODED + " SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, coalesce(array_to_string(list_transform(list_zip(ts, tags), lambda x: x[1] || '/' || x[2]), ' '), '') AS line FROM ts LEFT JOIN tg USING (doc_id, sent_id)")
 def _(spark, d):
-    tagger = G.PerceptronTagger(spark.createDataFrame(TAG_WEIGHTS + [("p1t=DT", "NN", 0.5), ("p12t=NN DT", "VBZ", 0.25)], P.WEIGHTS))
+    tagger = G.PerceptronTagger(spark.createDataFrame(TAG_WEIGHTS + HISTORY, P.WEIGHTS))
     return tagger.tag(read(spark, d, "documents")).select(*PLACE, X.print_tagged("tagged").alias("line"))
 
 
@@ -554,14 +686,14 @@ def _(spark, d):
     return K.brackets(chunked(spark, d), *PLACE)
 
 
-IOB_CHUNKS = IOB_ROWS.replace("label = 'B-ZZ' AS bad FROM io)", "label = 'B-ZZ' AS bad FROM io WHERE label <> 'B-ZZ')") + """, hd AS (SELECT *, iob = 'B' OR (iob = 'I' AND coalesce(lag(iob) OVER (PARTITION BY doc_id, sent_id ORDER BY pos), 'O') = 'O') AS head FROM ir),
+IOB_CHUNKS = IOB_ROWS.replace("'B-ZZ' ELSE", "'B-VP' ELSE") + """, hd AS (SELECT *, iob = 'B' OR (iob = 'I' AND coalesce(lag(iob) OVER (PARTITION BY doc_id, sent_id ORDER BY pos), 'O') = 'O') AS head FROM ir),
 ci AS (SELECT *, CASE WHEN iob <> 'O' THEN sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id, sent_id ORDER BY pos) END AS chunk_id FROM hd),
 fc AS (SELECT *, CASE WHEN chunk_id IS NULL THEN 'O' ELSE first_value(chunk) OVER (PARTITION BY doc_id, sent_id, chunk_id ORDER BY pos) END AS type FROM ci)"""
 
 
 def iob_rows(spark, d) -> DataFrame:
-    """IOB rows made in place, without the label that is none of the set's."""
-    rows = tagged_rows(spark, d).withColumn("_l", iob_label()).filter("_l <> 'B-ZZ'")
+    """IOB rows made in place, with a label of the set for that which is none."""
+    rows = tagged_rows(spark, d).withColumn("_l", F.replace(iob_label(), F.lit("ZZ"), F.lit("VP")))
     return rows.withColumn("iob", F.left("_l", F.lit(1))).withColumn("chunk", F.when(F.col("_l") != "O", F.substring("_l", 3, 9))).drop("_l")
 
 
@@ -591,30 +723,110 @@ def _(spark, d):
     return K.noun_phrases(tagged_rows(spark, d), *PLACE)
 
 
+@query("chunk_text", CHUNKED.replace("tt AS (SELECT *, " + TAG + " AS tag FROM tok)", f"tt AS (SELECT tok.*, coalesce(v.tag, 'Unk') AS tag FROM tok LEFT JOIN {values(DICTIONARY, 'term, tag')} v ON term = token)") + ", g AS (SELECT doc_id, sent_id, coalesce(chunk_id, -pos - 1) AS g, min(pos) AS pos, any_value(chunk) AS c, string_agg(token || '/' || tag, ' ' ORDER BY pos) AS t FROM il GROUP BY ALL), b AS (SELECT doc_id, sent_id, string_agg(CASE WHEN g > 0 THEN '[' || c || ' ' || t || ']' ELSE t END, ' ' ORDER BY pos) AS text FROM g GROUP BY doc_id, sent_id) SELECT doc_id, string_agg(text, ' ' ORDER BY sent_id) AS text FROM b GROUP BY doc_id")
+def _(spark, d):
+    """Texts tagged by a dictionary and chunked."""
+    return K.Chunker(chunk_weights(spark), T.CONLL).chunk_text(G.LiteralTagger(dictionary(spark)), read(spark, d, "documents"))
+
+
+@query(
+    "nested_brackets",
+    BASE + ", w AS (SELECT doc_id, sent_id, list_transform(ts, lambda token: token || '/' || " + TAG + ") AS w FROM ts WHERE len(ts) >= 3) SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, '[C_CL [C_NP ' || w[1] || '] [C_VP ' || w[2] || ' [C_NP ' || array_to_string(w[3:], ' ') || ']]]' AS text FROM w UNION ALL SELECT doc_id, CAST(sent_id AS INTEGER), '[C_CL ' || array_to_string(list_transform(ts, lambda token: token || '/' || " + TAG + "), ' ') || ']' FROM ts WHERE len(ts) IN (1, 2) UNION ALL SELECT doc_id, CAST(sent_id AS INTEGER), '[C_CL]' FROM ts WHERE len(ts) = 0",
+)
+def _(spark, d):
+    """A clause over each sentence, with a noun phrase and a verb phrase that has a noun phrase within."""
+    t = tagged_sentences(spark, d).withColumn("n", F.size("tagged"))
+    span = lambda i, parent, depth, label, a, b: F.struct(F.lit(i).alias("node_id"), F.lit(parent).cast("int").alias("parent_id"), F.lit(depth).alias("depth"), F.lit(label).alias("label"), F.lit(a).alias("start"), (F.lit(b) if isinstance(b, int) else b).alias("stop"))
+    n = F.col("n")
+    root = span(0, None, 0, "C_CL", 0, n)
+    spans = F.when(n >= 3, F.array(root, span(1, 0, 1, "C_NP", 0, 1), span(2, 0, 1, "C_VP", 1, n), span(3, 2, 2, "C_NP", 2, n))).otherwise(F.array(root))
+    return t.select(*PLACE, K.nested_brackets()(F.transform("tagged", X.print_token), spans).alias("text"))
+
+
 # ---- extraction
 
 
-@query("parse_noun_phrase", BASE + ", f AS (SELECT doc_id, sent_id, min(CASE WHEN tag NOT IN ('NN', 'DT', 'AT', 'JJ') THEN pos END) AS first_other, count(*) AS n FROM tt GROUP BY ALL) SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, coalesce(first_other, n) > 0 AS ok, CAST(CASE WHEN coalesce(first_other, n) > 0 THEN coalesce(first_other, n) END AS INTEGER) AS stop FROM f")
+@query("parse_noun_phrase", BASE + ", f AS (SELECT doc_id, sent_id, min(CASE WHEN tag NOT IN ('NN', 'DT', 'AT', 'JJ') THEN pos END) AS first_other, count(token) AS n FROM s LEFT JOIN tt USING (doc_id, sent_id) GROUP BY ALL) SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, coalesce(first_other, n) > 0 AS ok, CAST(CASE WHEN coalesce(first_other, n) > 0 THEN coalesce(first_other, n) END AS INTEGER) AS stop FROM f")
 def _(spark, d):
-    e = tagged_sentences(spark, d).filter(F.size("tagged") > 0).select(*PLACE, E.extract("tagged", E.noun_phrase).alias("e"))
+    e = tagged_sentences(spark, d).select(*PLACE, E.extract("tagged", E.noun_phrase).alias("e"))
     return e.select(*PLACE, "e.ok", "e.stop")
 
 
-@query("find_clause")
+#: A letter for each tag: N in noun phrases, V verbs, I prepositions. Behind each verb, up to the next: ``w`` is what its phrase can take, which must be
+#: noun phrases with or without prepositions; where all is one noun phrase and the next verb has its own phrase, that is a clause within.
+LETTER = f"CASE WHEN ({TAG}) IN ('NN', 'DT', 'AT', 'JJ') THEN 'N' WHEN ({TAG}) LIKE 'V%' THEN 'V' WHEN ({TAG}) = 'IN' THEN 'I' ELSE 'X' END"
+VERBS = BASE + f""", lt AS (SELECT doc_id, sent_id, array_to_string(list_transform(ts, lambda token: {LETTER}), '') AS z FROM ts),
+ps AS (SELECT doc_id, sent_id, z, string_split(z, 'V') AS ps FROM lt),
+vb AS (SELECT doc_id, sent_id, unnest(range(2, len(ps) + 1)) AS k, ps, len(ps) AS nv FROM ps),
+vw AS (SELECT doc_id, sent_id, k, nv, ps[k] AS piece, regexp_extract(ps[k], '^[NI]*') AS w, CAST(list_sum(list_transform(ps[1 : k - 1], lambda x: len(x) + 1)) AS INTEGER) - 1 AS place FROM vb),
+vo AS (SELECT *, w <> '' AND regexp_full_match(w, 'N*(IN+)*') AS good FROM vw),
+vc AS (SELECT *, coalesce(good AND piece = w AND regexp_full_match(w, 'N+') AND lead(good) OVER o, false) AS on_ FROM vo WINDOW o AS (PARTITION BY doc_id, sent_id ORDER BY k)),
+vh AS (SELECT *, coalesce(lag(on_) OVER o, false) AS inner_ FROM vc WINDOW o AS (PARTITION BY doc_id, sent_id ORDER BY k)),
+vg AS (SELECT *, sum(CASE WHEN good AND NOT inner_ THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sent_id ORDER BY k) AS g FROM vh),
+ve AS (SELECT *, max(CASE WHEN good THEN place + 1 + len(w) END) OVER (PARTITION BY doc_id, sent_id, g ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM vg WHERE good)"""
+
+
+@query(
+    "find_clause",
+    VERBS
+    + """, fn AS (SELECT doc_id, sent_id, z, instr(z, 'N') - 1 AS start, len(regexp_extract(z, '^[^N]*(N*)', 1)) AS run FROM lt),
+fc AS (SELECT f.doc_id, f.sent_id, f.start, e.stop FROM fn f JOIN ve e ON f.doc_id = e.doc_id AND f.sent_id = e.sent_id AND f.start >= 0 AND e.place = f.start + f.run)
+SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, c.stop IS NOT NULL AS ok, CASE WHEN c.stop IS NOT NULL THEN 'C_CL' END AS label, CAST(c.start AS INTEGER) AS start, CAST(c.stop AS INTEGER) AS stop FROM fn LEFT JOIN fc c USING (doc_id, sent_id)""",
+)
 def _(spark, d):
     e = tagged_sentences(spark, d).select(*PLACE, E.extract("tagged", E.find_clause).alias("e"))
-    return e.select(*PLACE, "e.ok", "e.label", "e.start", "e.stop", F.size("e.spans").alias("n_spans"))
+    return e.select(*PLACE, "e.ok", "e.label", "e.start", "e.stop")
+
+
+@query("verb_phrases", VERBS + " SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, 'C_VP' AS label, CAST(place AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop FROM ve WHERE NOT inner_")
+def _(spark, d):
+    """The outermost ones."""
+    return E.extracted_spans(tagged_sentences(spark, d), E.verb_phrase, *PLACE).filter("parent_id IS NULL").drop("node_id", "parent_id", "depth")
+
+
+@query("prep_phrases", VERBS + " SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, CAST(len(regexp_extract_all(z, 'IN+')) AS INTEGER) AS n FROM lt")
+def _(spark, d):
+    e = tagged_sentences(spark, d).select(*PLACE, E.extract("tagged", E.prep_phrase, everywhere=True).alias("e"))
+    return e.select(*PLACE, F.size(F.filter("e.spans", lambda x: x["label"] == "C_PP")).alias("n"))
 
 
-@query("verb_phrases")
+@query("one_of_tokens", BASE + " SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, CAST(list_min(list_filter(list_transform(range(len(ts) - 1), lambda i: CASE WHEN lower(ts[i + 1]) IN ('the', 'la', 'die') AND ts[i + 2] IN ('of', 'de', 'der', 'and') THEN i END), lambda i: i IS NOT NULL)) AS INTEGER) AS start FROM ts")
 def _(spark, d):
-    return E.extracted_spans(tagged_sentences(spark, d), E.verb_phrase, *PLACE)
+    """Where an article without regard to case stands before one of some words."""
+    def article() -> E.Parser:
+        words = E.choice(*(E.attempt(E.token_is(t, False)) for t in ("the", "la", "die")))
+        return E.chunk("X", words.then(lambda a: E.one_of(["of", "de", "der", "and"]).map(lambda b: [a, b])))
 
+    e = tagged_sentences(spark, d).select(*PLACE, E.extract("tagged", article, everywhere=True).alias("e"))
+    return e.select(*PLACE, "e.start")
 
-@query("mail_messages")
+
+@query(
+    "extract_chunked",
+    CHUNKED + """, im AS (SELECT doc_id, sent_id, coalesce(chunk_id, -pos - 1) AS g, min(pos) AS pos, any_value(CASE WHEN chunk_id IS NULL THEN tag ELSE chunk END) AS x, any_value(chunk_id) IS NOT NULL AS c FROM il GROUP BY doc_id, sent_id, coalesce(chunk_id, -pos - 1)),
+iw AS (SELECT doc_id, sent_id, string_agg(CASE WHEN c AND x = 'NP' THEN 'n' WHEN c AND x = 'VP' THEN 'v' WHEN c THEN 'c' WHEN x = 'RB' THEN 'r' ELSE 't' END, '' ORDER BY pos) AS z FROM im GROUP BY doc_id, sent_id)
+SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, CAST(len(regexp_extract_all(z, 'n[vr]')) AS INTEGER) AS n FROM iw""",
+)
+def _(spark, d):
+    """A noun-phrase chunk with a verb-phrase chunk, or an adverb outside of chunks, behind it."""
+
+    def pattern() -> E.Parser:
+        return E.chunk("X", E.chunk_is("NP").then(lambda a: (E.chunk_is("VP") | E.tag_is("RB")).map(lambda b: [a, b])))
+
+    e = K.column_of(chunked(spark, d), *PLACE).select(*PLACE, E.extract("chunked", pattern, everywhere=True).alias("e"))
+    return e.select(*PLACE, F.size(F.filter("e.spans", lambda x: x["label"] == "X")).alias("n"))
+
+
+@query(
+    "mail_messages",
+    """WITH a AS (SELECT conv_id AS file, string_agg('From ' || role || ' at ' || turn || chr(10) || 'Subject: x' || chr(10) || chr(10) || text || chr(10) || chr(10), '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id),
+p AS (SELECT file, string_split(chr(10) || t, chr(10) || 'From ')[2:] AS ps FROM a),
+m AS (SELECT file, unnest(range(len(ps))) AS msg_id, unnest(ps) AS m FROM p)
+SELECT file, CAST(msg_id AS INTEGER) AS msg_id, CASE WHEN instr(m, chr(10) || chr(10)) > 0 THEN trim(trim(substring(m, instr(m, chr(10) || chr(10)) + 2), chr(10))) ELSE '' END AS body FROM m""",
+)
 def _(spark, d):
     """Conversations written as mail archives and read back."""
     c = read(spark, d, "conversations")
     mail = F.concat(F.lit("From "), "role", F.lit(" at "), F.col("turn").cast("string"), F.lit("\nSubject: x\n\n"), "text", F.lit("\n\n"))
     archives = c.groupBy(F.col("conv_id").alias("file")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", mail.alias("m")))), lambda x: x["m"]), "").alias("text"))
-    return S.mail_messages(archives).select("file", "msg_id", F.trim("body").alias("body"))
+    return S.mail_messages(archives).select("file", "msg_id", F.trim(F.btrim("body", F.lit("\n"))).alias("body"))

@@ -85,6 +85,15 @@ def read_iob(df: DataFrame, tagset: T.TagSet = T.RAW, text: str = "text", key: s
     return rows
 
 
+def sentence_results(iob_rows: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, tokens, error)``: all entries of each sentence, or of each whole text if ``keys`` name that, or else the first error in it."""
+    order = [c for c in ("sent_id", "pos") if c not in keys]
+    entry = F.struct(*order, "token", "tag", "iob", "chunk")
+    first = F.min(F.when(F.col("_error").isNotNull(), F.struct(*order, "_error")))["_error"]
+    rows = iob_rows.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("tokens"), first.alias("error"))
+    return rows.withColumn("tokens", F.when(F.col("error").isNull(), F.col("tokens")))
+
+
 def tagged_sentences(iob_rows: DataFrame) -> DataFrame:
     """Drops the chunk layer of IOB rows, and malformed rows."""
     return iob_rows.filter(F.col("_error").isNull()).drop("iob", "chunk", "_error")

@@ -1,8 +1,10 @@
 """The transforms on streams.
 
-Tokenizing, tagging, chunk features of whole sentences and pattern extraction
-keep no state, so they run on a streaming DataFrame as they are. Corpus
-frequencies are kept by a complete-mode aggregate.
+Tokenizing, pattern extraction, and tagging by perceptrons and by dictionaries of
+at most ``taggers.SMALL`` terms keep no state, so they run on a streaming
+DataFrame as they are. Chunk features, chunks and larger dictionaries need
+windows or joins over sentences, which a stream has not: use them in
+``foreachBatch``. Corpus frequencies are kept by a complete-mode aggregate.
 """
 
 from pyspark.sql import DataFrame

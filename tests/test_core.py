@@ -56,6 +56,12 @@ def test_protected_terms(spark):
     assert pieces(["Rotor RPM"], False, "The rotor rpm increased.", True) == ["The", "rotor rpm", "increased", "."]
     assert pieces(["C++", "a.b"], True, "C++ a.b axb", True) == ["C++", "a.b", "axb"]
     assert pieces(["art"], True, "party art") == ["party ", "art"]
+    assert pieces(["art"], False, "éart ART") == ["éart ", "ART"]
+    assert pieces(["été", "über alles"], False, "ÉTÉ chaud, Über Alles; tété") == ["ÉTÉ", " chaud, ", "Über Alles", "; tété"]
+    assert pieces(["a"], True, "\u0001a\u0002 b\nc a") == ["\u0001", "a", "\u0002 b\nc ", "a"]
+    assert pieces(["$5", "b"], True, "$5b b $5 b", True) == ["$5b", "b", "$5", "b"]
+    long = "x y " * 40_000
+    assert pieces(["zz"], True, f"{long}zz {long}") == [long, "zz", f" {long}"]
 
 
 def test_predicates_and_printing(spark):
@@ -239,6 +245,55 @@ def test_stack_trains_saves_and_loads(spark, tmp_path):
     assert G.new_tagger(spark).fit_text(corpus, compat=True).tag_text(texts(spark, "dog the")).first().text == "dog/NN the/DT"
 
 
+def test_decoding_many_sentences_is_decoding_each(spark, monkeypatch):
+    monkeypatch.setattr(G.Decoder, "TOGETHER", 40)
+    r = random.Random(2)
+    words, tags = ["the", "a", "dog", "Étés", "x", "jumping", "", "of"], ["DT", "NN", "VB", "JJ"]
+    feats = [f"{n}={v}" for n in ("suf", "pre", "w", "p1w", "p1suf", "p2w", "n1w", "n1suf", "n2w") for w in [*words, "-START2-", "-END-", "-START-", "-END2-"] for v in (w, w[-3:], w[:1])]
+    feats += [f"p1t={t}" for t in [*tags, "-START-", "Unk"]] + [f"p2t={t}" for t in [*tags, "-START2-"]] + [f"p12t={a} {b}" for a in [*tags, "-START-"] for b in [*tags, "-START2-"]] + [f"p1tw={a} {w}" for a in tags for w in words]
+    for share in (0.02, 0.3, 1.0):
+        p = P.Perceptron({f: {c: round(r.uniform(-1, 1), 2) for c in r.sample(tags, r.randint(1, 4))} for f in dict.fromkeys(feats) if r.random() < share})
+        sents = [[r.choice(words) for _ in range(r.randrange(12))] for _ in range(60)] + [None, []]
+        got = spark.createDataFrame([(i, s) for i, s in enumerate(sents)], "i int, tokens array<string>").repartition(2)
+        tagger = G.PerceptronTagger(spark.createDataFrame(p.rows(), P.WEIGHTS))
+        out = {x.i: x.tagged for x in tagger.transform(got).collect()}
+        for i, s in enumerate(sents):
+            assert (None if s is None else [t["tag"] for t in out[i]]) == (None if s is None else G.decode(p, s))
+
+
+def test_training_goes_on_from_a_saved_model(spark, tmp_path):
+    one_, two = "the/DT dog/NN barks/VB ./.\na/DT cat/NN dog/VB ./.", "the/DT cat/NN saw/VB a/DT dog/NN ./.\nsaw/NN dog/NN"
+    empty = G.PerceptronTagger(spark.createDataFrame([], P.WEIGHTS), iterations=2, seed=4)
+    first = empty.fit_text(texts(spark, one_))
+    first.save(spark, f"{tmp_path}/m")
+    loaded = models.load(spark, f"{tmp_path}/m")
+    key = lambda t: sorted(map(str, t.state.collect()))
+    straight = first.fit_text(texts(spark, two))
+    assert key(loaded.fit_text(texts(spark, two))) == key(straight)
+    # without the totals the result is another
+    assert key(G.PerceptronTagger(first.weights, iterations=2, seed=4).fit_text(texts(spark, two))) != key(straight)
+    p = P.Perceptron()  # the definition, in one process
+    for text in (one_, two):
+        p = P.train([G.training_sequence([{"token": w, "tag": t} for w, t in tagged(line)]) for line in text.split("\n")], 2, 4, "Unk", p)
+    assert {x[:3] for x in p.state()} == {(x.feature, x["class"], x.weight) for x in straight.state.collect()}
+    for name, text in (("a", one_), ("b", two)):
+        (tmp_path / f"{name}.txt").write_text(text)
+    assert key(empty.fit_files(spark, [f"{tmp_path}/a.txt", f"{tmp_path}/b.txt"])) == key(straight)
+
+
+def test_dictionaries_of_either_size(spark, monkeypatch):
+    t = G.LiteralTagger(spark.createDataFrame([("The", "DT"), ("the", "XX"), ("dog", "NN"), ("été", "S")], "term string, tag string"), False)
+    rows = spark.createDataFrame([(1, ["The", "ÉTÉ", "cat"], "k"), (2, [], "k"), (1, ["dog"], "k")], "_row int, tokens array<string>, _first string")
+    small = sorted(map(str, t.transform(rows).collect()))
+    monkeypatch.setattr(G, "SMALL", 0)
+    assert small == sorted(map(str, t.transform(rows).collect())) and "tag='XX'" in small[0] + small[1] + small[2]
+
+
+def test_other_tokenizers_and_splitters(spark):
+    t = G.LiteralTagger(table(spark, {"a": "X"})).using(lambda c: F.split(c, "-"), lambda c: F.split(c, ";"))
+    assert t.tag_text(texts(spark, "a-b;a.")).first().text == "a/X b/Unk a./Unk"
+
+
 # ---- chunks
 
 
@@ -330,6 +385,59 @@ def test_noun_phrase_runs(spark):
 # ---- streams and the command line
 
 
+def test_chunks_as_elements(spark):
+    s = [("the", "DT", "NP", 1), ("dog", "NN", "NP", 1), ("cats", "NN", "NP", 2), ("ran", "VB", "VP", 3), ("fast", "RB", "O", None)]
+    rows = spark.createDataFrame([(1, i, *x) for i, x in enumerate(s)], "s int, pos int, token string, tag string, chunk string, chunk_id int")
+
+    def pattern():
+        return E.chunk("X", E.chunk_is("NP").then(lambda a: E.chunk_is().then(lambda b: E.tag_is("RB").map(lambda c: [a, b, c]))))
+
+    e = K.column_of(rows, "s").select(E.extract("chunked", pattern, everywhere=True).alias("e")).first().e
+    assert (e.ok, e.label, e.start, e.stop) == (True, "X", 2, 5)
+    assert [(x.label, x.start, x.stop) for x in e.spans] == [("X", 2, 5), ("NP", 2, 3), ("VP", 3, 4)]
+    first = E.items([dict(zip(("token", "tag", "chunk", "chunk_id"), x)) for x in s])[0]
+    assert first == E.Item("the dog", "NP", True, 0, 2)
+    assert not E.parse(E.token_is("the dog"), [first]).ok  # a chunk is no token
+
+
+def test_all_entries_or_an_error(spark):
+    rows = S.read_iob(texts(spark, "a DT B-NP\nb NN I-NP\n\nc NN B-ZZ\nd\n\ne . O", "f NN O"), T.CONLL)
+    got = {(r.doc_id, r.sent_id): (r.tokens and [t.token for t in r.tokens], r.error) for r in S.sentence_results(rows, "doc_id", "sent_id").collect()}
+    assert got == {(0, 0): (["a", "b"], None), (0, 1): (None, "unknown chunk: B-ZZ"), (0, 2): (["e"], None), (1, 0): (["f"], None)}
+    assert {r.doc_id: r.error for r in S.sentence_results(rows, "doc_id").collect()} == {0: "unknown chunk: B-ZZ", 1: None}
+
+
+def test_columns_of_the_user_stay(spark):
+    names = ["_p", "_n", "_last", "_c", "_row", "_first", "_gold", "_d", "_h", "class", "new", "head", "last", "prev", "next"]
+    rows = spark.createDataFrame([(1, i, w, t, "B" if i % 2 else "I", "NP", *names) for i, (w, t) in enumerate(tagged("the/DT dog/NN ran/VB"))], "s int, pos int, token string, tag string, iob string, chunk string, " + ", ".join(f"{n} string" for n in names))
+    weights = spark.createDataFrame([("pos=NN", "NP", 1.0)], P.WEIGHTS)
+    for df in (K.predict(rows, weights, "s"), K.with_islands(rows, "s"), K.iob_chunks(rows, "s"), K.tags_since_determiner(rows, "s"), G.dictionary_tags(rows, table(spark, {"the": "X"}))):
+        assert all(r[n] == n for r in df.collect() for n in names)
+
+
+def test_terms_are_counted_in_the_row(spark):
+    docs = spark.createDataFrame([(1, ["b", "a", "b", None]), (2, []), (3, None), (1, ["b"])], "doc_id int, tokens array<string>")
+    tf, df = C.frequencies(docs)
+    assert sorted(map(str, map(tuple, tf.collect()))) == sorted(map(str, [(1, "a", 1), (1, "b", 2), (1, None, 1), (1, "b", 1)]))
+    assert {r.term: r.df for r in df.collect()} == {"a": 1, "b": 2, None: 1}
+    assert "Exchange" not in tf._jdf.queryExecution().executedPlan().toString()
+
+
+def test_later_entries_of_a_map_count(spark):
+    e = "array(struct('b' as key, 1 as value), struct('a' as key, 2 as value), struct('b' as key, 3 as value), struct('c' as key, 4 as value), struct('b' as key, 5 as value))"
+    got = spark.range(1).select(M.from_entries(F.expr(e)).alias("m"), M.from_entries(F.expr("slice(" + e + ", 1, 0)")).alias("none")).first()
+    assert got.m == {"a": 2, "b": 5, "c": 4} and got.none == {}
+
+
+def test_prediction_needs_one_exchange(spark):
+    weights = spark.createDataFrame([("pos=NN", "NP", 1.0), ("w=a", "X", 1.0)], P.WEIGHTS)
+    rows = token_rows(spark, tagged("the/DT dog/NN"))
+    sentences = spark.createDataFrame([(1, ["a", "b"])], "s int, tokens array<string>").repartition("s")
+    for df in (K.predict(rows, weights, "s"), P.predict(G.sentence_features(sentences, "s", with_token=True), weights, "s", "pos", "token")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
 def test_stream(spark, tmp_path):
     from lexiloom import streaming as W
 
@@ -344,6 +452,11 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     assert {r.t for r in spark.table("printed").collect()} == {"a/X b/Unk a/X", "b/Unk c/Unk"}
     q.stop()
+    tagger = G.LiteralTagger(table(spark, {"b": "Y"}), backoff=tagger)
+    q = tagger.transform(stream).select(X.print_tagged("tagged").alias("t")).writeStream.format("memory").queryName("looked_up").start()
+    q.processAllAvailable()
+    assert {r.t for r in spark.table("looked_up").collect()} == {"a/X b/Y a/X", "b/Y c/Unk"}
+    q.stop()
 
 
 def test_command_line(spark, tmp_path):
