@@ -112,7 +112,8 @@ class Pieces:
     number: np.ndarray
     codes: list[np.ndarray]
     grams: np.ndarray  # distinct, sorted
-    occurrence: np.ndarray  # (row of the gram, piece) in one number, ascending
+    first: np.ndarray  # where each one's occurrences begin
+    owner: np.ndarray  # pieces, ascending among the occurrences of a gram
     place: np.ndarray
     bits: np.ndarray
     short: dict[int, tuple[np.ndarray, list[list[int]]]]  # by length: hashes of the items below Q, and their pieces
@@ -140,7 +141,7 @@ def _portion(part: list[tuple[int, int, np.ndarray]]) -> Pieces:
     place = np.concatenate([np.arange(len(x)) for x in h])
     h = np.concatenate(h)
     order = np.argsort(h, kind="stable")
-    grams, back = np.unique(h[order], return_inverse=True)
+    grams, first = np.unique(h[order], return_index=True)
     bits = np.zeros(1 << 22, bool)
     bits[(grams >> np.uint64(42)).astype(np.int64)] = True
     short = {}
@@ -151,7 +152,7 @@ def _portion(part: list[tuple[int, int, np.ndarray]]) -> Pieces:
         for p, k in zip(own, at.tolist()):
             by[k].append(p)
         short[m] = keys, by
-    return Pieces(np.array([i for i, _, _ in part]), np.array([k for _, k, _ in part]), [c for _, _, c in part], grams, back * len(part) + owner[order], place[order], bits, short)
+    return Pieces(np.array([i for i, _, _ in part]), np.array([k for _, k, _ in part]), [c for _, _, c in part], grams, np.append(first, len(h)), owner[order], place[order], bits, short)
 
 
 def whole_words(codes: np.ndarray, offs: np.ndarray, x: Pieces) -> list[tuple[int, int, int, int]]:
@@ -184,20 +185,23 @@ def bands(codes: np.ndarray, offs: np.ndarray, x: Pieces) -> np.ndarray:
     doc = np.searchsorted(offs, at, "right") - 1
     ok = (x.grams[g] == h[at]) & (at + Q <= offs[doc + 1])
     at, g, doc = at[ok], g[ok], doc[ok]
+    if not len(at):
+        return none
+    n = x.first[g + 1] - x.first[g]
+    if int(n.sum()) <= HITS:
+        return _bands(at, g, doc, offs, x, x.first[g], n)
+    # some of the pieces at a time: those of a gram are ascending
     pieces = len(x.codes)
-    n = np.searchsorted(x.occurrence, (g + 1) * pieces) - np.searchsorted(x.occurrence, g * pieces)
-    parts = min(pieces, int(n.sum()) // HITS + 1)
-    edge = np.linspace(0, pieces, parts + 1).astype(np.int64)
-    return np.concatenate([_bands(at, g, doc, offs, x, a, b) for a, b in zip(edge, edge[1:])]) if len(at) else none
+    key = np.repeat(np.arange(len(x.grams)), np.diff(x.first)) * pieces + x.owner
+    edge = np.linspace(0, pieces, min(pieces, int(n.sum()) // HITS + 1) + 1).astype(np.int64)
+    cut = [np.searchsorted(key, g * pieces + e) for e in edge]
+    return np.concatenate([_bands(at, g, doc, offs, x, a, b - a) for a, b in zip(cut, cut[1:])])
 
 
-def _bands(at, g, doc, offs, x: Pieces, low_piece: int, high_piece: int) -> np.ndarray:
-    """``bands`` of some of the pieces."""
-    pieces = len(x.codes)
-    first = np.searchsorted(x.occurrence, g * pieces + low_piece)
-    n = np.searchsorted(x.occurrence, g * pieces + high_piece) - first
+def _bands(at, g, doc, offs, x: Pieces, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``bands`` of ``n`` of the occurrences of each gram, from ``first`` on."""
     occ = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-    piece, diagonal = x.occurrence[occ] % pieces, np.repeat(at - offs[doc], n) - x.place[occ]
+    piece, diagonal = x.owner[occ], np.repeat(at - offs[doc], n) - x.place[occ]
     doc, where = np.repeat(doc, n), np.repeat(at, n)
     size = np.array([len(c) for c in x.codes], np.int64)
     e = np.maximum(0, np.minimum((BUDGET * size).astype(np.int64), (size - Q) // Q))
