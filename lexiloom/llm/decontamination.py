@@ -56,6 +56,8 @@ Q, BUDGET, PIECE, STRIDE, WHOLE, LONG, PORTION = 12, 0.06, 64, 16, 100, 128, 1 <
 PASSAGE = PIECE + STRIDE - 1
 #: Places of pieces that are worked on together; portions up to which ``remove`` needs one pass and no exchange.
 HITS, IN_PASS = 1 << 22, 4
+#: Alignments side by side.
+SIDE = 1024
 
 
 @functools.cache
@@ -225,51 +227,48 @@ def _bands(at, g, doc, offs, x: Pieces, first: np.ndarray, n: np.ndarray) -> np.
     return np.stack([rows[0], rows[1], rows[2] * (e[rows[1]] + 1)], 1)
 
 
-def banded(piece: np.ndarray, stretches: list[np.ndarray], shift: list[int], width: int) -> np.ndarray:
-    """The least edit distance of the piece to any part of each stretch, within the diagonals ``shift .. shift + width - 1``.
+def banded(pieces: list[np.ndarray], codes: np.ndarray, start: np.ndarray, stop: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
+    """The least edit distance of each piece to any part of its text ``codes[start:stop]``, within the diagonals ``low .. low + width - 1``.
 
-    Row i of the table holds, for each diagonal d, the distance of the piece's
-    first i characters to a part of the stretch that ends at place ``i + d``.
+    The pieces are of one length. Row i of the table holds, for each diagonal d, the
+    distance of the piece's first i characters to a part of the text that ends at
+    place ``i + d``; the columns of all pieces stand side by side.
     """
-    n, m = len(stretches), len(piece)
-    size = max((len(s) for s in stretches), default=0)
-    text = np.full((n, size + 2), -1, np.int64)
-    for k, s in enumerate(stretches):
-        text[k, : len(s)] = s
-    length = np.array([len(s) for s in stretches])[:, None]
-    diag = np.array(shift)[:, None] + np.arange(width)
-    far = 1 << 20
-    ramp = np.arange(width)
-    row = np.where((diag >= 0) & (diag <= length), 0, far)
+    m = len(pieces[0])
+    letters = np.stack(pieces, 1)
+    far = np.int32(1 << 14)
+    place = low + np.arange(-1, width + m)[:, None]  # of the letter before each end
+    size = stop - start
+    inside = (place >= 0) & (place < size)
+    text = codes[np.where(inside, start + place, 0)]
+    no_letter = np.where(inside, np.int32(0), far)
+    outside = np.where(inside | ((place == -1) & (size >= 0)), np.int32(0), far)
+    ramp = np.arange(width, dtype=np.int32)[:, None]
+    row = outside[:width]
     for i in range(1, m + 1):
-        end = diag + i
-        inside = (end >= 0) & (end <= length)
-        letter = np.take_along_axis(text, np.clip(end - 1, 0, size), 1)
-        best = row + ((letter != piece[i - 1]) | (end < 1))
-        best = np.where(end < 1, far, best)
-        best[:, :-1] = np.minimum(best[:, :-1], row[:, 1:] + 1)  # a character of the piece is missing in the text
-        best = np.where(inside, best, far)
-        row = np.where(inside, np.minimum.accumulate(best - ramp, 1) + ramp, far)  # characters of the text are extra
-    return row.min(1)
+        at = slice(i, i + width)
+        best = row + no_letter[at]
+        best += text[at] != letters[i - 1]
+        np.minimum(best[:-1], row[1:] + 1, out=best[:-1])  # a character of the piece is missing in the text
+        best -= ramp
+        row = np.minimum.accumulate(best, 0)  # characters of the text are extra
+        row += ramp
+        row += outside[at]
+    return row.min(0)
 
 
 def find(codes: np.ndarray, offs: np.ndarray, x: Pieces) -> list[tuple[int, int, int, int]]:
     """(document, item, edits, piece) of the pieces found in flat normalised texts."""
     out = whole_words(codes, offs, x)
     rows = bands(codes, offs, x)
-    for p in np.unique(rows[:, 1]).tolist():
-        own, piece = rows[rows[:, 1] == p], x.codes[p]
-        m, e = len(piece), budget(len(piece))
-        width = 2 * (e + 1) + 2 * e
-        for a in range(0, len(own), 256):
-            stretches, shift, docs = [], [], own[a : a + 256, 0]
-            for d, low in own[a : a + 256, [0, 2]].tolist():
-                start, stop = int(offs[d]), int(offs[d + 1])
-                s = max(start, start + low - e)
-                stretches.append(codes[s : min(stop, start + low - e + width + m)])
-                shift.append(start + low - e - s)
-            best = banded(piece, stretches, shift, width)
-            out += [(int(d), int(x.item[p]), int(b), int(x.number[p])) for d, b in zip(docs, best) if b <= e]
+    size = np.array([len(c) for c in x.codes], np.int64)[rows[:, 1]]
+    for m in np.unique(size).tolist():
+        alike, e = rows[size == m], budget(m)
+        for own in np.split(alike, range(SIDE, len(alike), SIDE)):
+            doc, piece, low = own.T
+            best = banded([x.codes[p] for p in piece.tolist()], codes, offs[doc], offs[doc + 1], low - e, 2 * (e + 1) + 2 * e)
+            ok = best <= e
+            out += zip(doc[ok].tolist(), x.item[piece[ok]].tolist(), best[ok].tolist(), x.number[piece[ok]].tolist())
     return out
 
 
