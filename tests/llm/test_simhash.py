@@ -65,6 +65,48 @@ def test_tiles_are_exact(same, monkeypatch):
     assert got == want and len(p) == len(got)
 
 
+@pytest.mark.parametrize("parts", [0, 3, 5, 8])
+def test_any_near_pair_is_met_in_a_table(parts):
+    r = np.random.default_rng(parts)
+    a = r.integers(0, 1 << 64, (3000, 4), dtype=np.uint64)
+    b = a.copy()
+    for x in b:  # as far apart as the first radius allows, in places of any spread
+        lo, hi = sorted(r.integers(0, 129, 2))
+        places = np.arange(lo, hi) if 0 < hi - lo <= S.RADIUS else r.choice(128, S.RADIUS, replace=False)
+        for k in places.tolist():
+            x[k // 64] ^= np.uint64(1 << k % 64)
+    met = np.zeros(len(a), bool)
+    for t in S.tables(parts):
+        word = np.bitwise_count(a[:, t.word] ^ b[:, t.word]) <= t.most
+        met |= word & (np.bitwise_count(t.keys(a) ^ t.keys(b)) <= t.limit)
+    assert met.all()
+
+
+def test_work_grows_less_than_the_square(monkeypatch):
+    class Counting:
+        pairs = 0
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def bitwise_count(self, x, **how):
+            self.pairs += x.size
+            return np.bitwise_count(x, **how)
+
+    n = 40_000
+    r = np.random.default_rng(8)
+    a = r.integers(0, 1 << 64, (n, 4), dtype=np.uint64)
+    for i in range(100):  # near copies, at the radii
+        a[n - 1 - i] = a[i]
+        for k in r.choice(128, i % 29, replace=False).tolist() + (128 + r.choice(128, 24, replace=False)).tolist():
+            a[n - 1 - i, k // 64] ^= np.uint64(1 << k % 64)
+    counting = Counting()
+    monkeypatch.setattr(S, "np", counting)
+    p, q = S.compare(a, a, True)
+    assert {tuple(sorted(z)) for z in zip(p.tolist(), q.tolist())} == {(i, n - 1 - i) for i in range(100)}
+    assert counting.pairs < n * n / 5
+
+
 def test_groups_by_brute_force(spark):
     r = random.Random(9)
     rows = []
@@ -100,6 +142,21 @@ def test_groups_by_brute_force(spark):
     assert S.groups(docs.limit(0)).count() == 0
 
 
+def test_tables_and_blocks_find_what_one_bucket_does(spark, monkeypatch):
+    r = random.Random(12)
+    rows = []
+    for g in range(40):
+        w = words(r, r.choice([3, 60, 200]))
+        for _ in range(r.randint(1, 5)):
+            rows.append((len(rows), " ".join(x if r.random() > 0.03 else f"z{r.randrange(99)}" for x in w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for n in (0, 3):
+        monkeypatch.setattr(S, "parts", lambda _, n=n: n)
+        got[n] = sorted(x[:] for x in S.groups(docs, block=60).collect())
+    assert got[0] == got[3] and len(got[0]) > 60
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(100 + r.randrange(40), 100 + r.randrange(40)) for _ in range(25)] + [(7, 7)]
