@@ -43,6 +43,10 @@ def test_tokens(spark):
     assert one(spark, X.all_but_last("x"), "abc", "") == ["ab", ""]
 
 
+def test_sentences_keep_the_digits_of_their_own_number(spark):
+    assert one(spark, X.sentences("x"), "0.5 is. 11 b\n21 c 2\n 3. \n4", "0") == [["0.5 is.", "11 b", "21 c 2", "3.", "4"], ["0"]]
+
+
 def test_protected_terms(spark):
     def pieces(terms, sensitive, text, split=False):
         (got,) = one(spark, X.protect_terms("x", terms, sensitive, split), text)
