@@ -476,3 +476,29 @@ def test_command_line(spark, tmp_path):
     for command, name in (("train-chunk", "c"), ("train-ner", "n")):
         run(spark, [command, f"{tmp_path}/{name}.txt", f"{tmp_path}/{name}"])
         assert models.load(spark, f"{tmp_path}/{name}").weights.count() > 0
+
+
+def test_places_with_like_elements_are_parsed_once():
+    """A noun phrase at the start, and a search for verb phrases, over sentences that repeat in tags but not in tokens."""
+    import pyarrow as pa
+
+    runs = []
+
+    def counted(p):
+        def run(s, i):
+            runs.append(i)
+            return p.go(s, i)
+
+        return E.Parser(run, True)
+
+    def not_first():
+        return E.chunk("X", E.tag_is("NN").then(lambda a: E.fail("first") if a.start == 0 else E.pure([a])))
+
+    rows = [[{"token": f"t{k}{i}", "tag": t} for i, t in enumerate(("DT", "NN", "VBD", "NN", "."))] for k in range(50)]
+    sentences = pa.array(rows, pa.list_(pa.struct([("token", pa.string()), ("tag", pa.string())])))
+    for parser, everywhere, most in ((E.noun_phrase(), False, 1), (E.verb_phrase(), True, 5), (not_first(), True, 150)):
+        runs.clear()
+        got = E.Matcher(counted(parser), everywhere)(sentences).to_pylist()
+        assert len(runs) <= most
+        nodes = [E.search_all(parser, [(t["token"], t["tag"]) for t in r]) if everywhere else [E.parse(parser, [(t["token"], t["tag"]) for t in r]).value] for r in rows]
+        assert [(g["label"], g["start"], g["stop"], g["spans"]) for g in got] == [(n[0].label, n[0].start, n[0].stop, E.span_rows(n)) for n in nodes]
