@@ -655,7 +655,8 @@ def chunk_weights(spark) -> DataFrame:
 
 
 def chunked(spark, d) -> DataFrame:
-    return K.Chunker(chunk_weights(spark), T.CONLL).transform(tagged_rows(spark, d), *PLACE)
+    """``(doc_id, sent_id, chunked)`` of sentences with tokens, without an exchange."""
+    return K.Chunker(chunk_weights(spark), T.CONLL).transform_column(tagged_sentences(spark, d).filter(F.size("tagged") > 0)).select(*PLACE, "chunked")
 
 
 @query("tags_since_dt", CHUNK + " SELECT since, count(*) AS n FROM sd GROUP BY since")
@@ -670,12 +671,12 @@ def _(spark, d):
 
 @query("chunk_predict", CHUNKED + " SELECT token, tag, chunk, count(*) AS n FROM ck GROUP BY ALL")
 def _(spark, d):
-    return n_by(K.predict(tagged_rows(spark, d), chunk_weights(spark), *PLACE, tagset=T.CONLL), "token", "tag", "chunk")
+    return n_by(chunked(spark, d).select(F.explode("chunked").alias("t")).select("t.token", "t.tag", "t.chunk"), "token", "tag", "chunk")
 
 
 @query("chunk_tree", CHUNKED + " SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, CAST(chunk_id AS INTEGER) AS node_id, any_value(chunk) AS label, CAST(min(pos) AS INTEGER) AS start, CAST(max(pos) + 1 AS INTEGER) AS stop FROM il WHERE chunk_id IS NOT NULL GROUP BY doc_id, sent_id, chunk_id")
 def _(spark, d):
-    return K.spans(chunked(spark, d), *PLACE).drop("parent_id", "depth")
+    return chunked(spark, d).select(*PLACE, F.explode(K.column_spans()(F.col("chunked"))).alias("s")).select(*PLACE, "s.*")
 
 
 @query(
@@ -683,7 +684,7 @@ def _(spark, d):
     CHUNKED + ", g AS (SELECT doc_id, sent_id, coalesce(chunk_id, -pos - 1) AS g, min(pos) AS pos, any_value(chunk) AS c, string_agg(token || '/' || tag, ' ' ORDER BY pos) AS t FROM il GROUP BY ALL) SELECT doc_id, CAST(sent_id AS INTEGER) AS sent_id, string_agg(CASE WHEN g > 0 THEN '[' || c || ' ' || t || ']' ELSE t END, ' ' ORDER BY pos) AS text FROM g GROUP BY doc_id, sent_id",
 )
 def _(spark, d):
-    return K.brackets(chunked(spark, d), *PLACE)
+    return chunked(spark, d).select(*PLACE, K.column_brackets()(F.col("chunked")).alias("text"))
 
 
 IOB_CHUNKS = IOB_ROWS.replace("'B-ZZ' ELSE", "'B-VP' ELSE") + """, hd AS (SELECT *, iob = 'B' OR (iob = 'I' AND coalesce(lag(iob) OVER (PARTITION BY doc_id, sent_id ORDER BY pos), 'O') = 'O') AS head FROM ir),
@@ -795,7 +796,7 @@ def _(spark, d):
     """Where an article without regard to case stands before one of some words."""
     def article() -> E.Parser:
         words = E.choice(*(E.attempt(E.token_is(t, False)) for t in ("the", "la", "die")))
-        return E.chunk("X", words.then(lambda a: E.one_of(["of", "de", "der", "and"]).map(lambda b: [a, b])))
+        return E.chunk("X", E.in_order(words, E.one_of(["of", "de", "der", "and"])))
 
     e = tagged_sentences(spark, d).select(*PLACE, E.extract("tagged", article, everywhere=True).alias("e"))
     return e.select(*PLACE, "e.start")
@@ -811,9 +812,9 @@ def _(spark, d):
     """A noun-phrase chunk with a verb-phrase chunk, or an adverb outside of chunks, behind it."""
 
     def pattern() -> E.Parser:
-        return E.chunk("X", E.chunk_is("NP").then(lambda a: (E.chunk_is("VP") | E.tag_is("RB")).map(lambda b: [a, b])))
+        return E.chunk("X", E.in_order(E.chunk_is("NP"), E.chunk_is("VP") | E.tag_is("RB")))
 
-    e = K.column_of(chunked(spark, d), *PLACE).select(*PLACE, E.extract("chunked", pattern, everywhere=True).alias("e"))
+    e = chunked(spark, d).select(*PLACE, E.extract("chunked", pattern, everywhere=True).alias("e"))
     return e.select(*PLACE, F.size(F.filter("e.spans", lambda x: x["label"] == "X")).alias("n"))
 
 

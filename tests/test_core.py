@@ -502,3 +502,23 @@ def test_places_with_like_elements_are_parsed_once():
         assert len(runs) <= most
         nodes = [E.search_all(parser, [(t["token"], t["tag"]) for t in r]) if everywhere else [E.parse(parser, [(t["token"], t["tag"]) for t in r]).value] for r in rows]
         assert [(g["label"], g["start"], g["stop"], g["spans"]) for g in got] == [(n[0].label, n[0].start, n[0].stop, E.span_rows(n)) for n in nodes]
+
+
+@pytest.mark.parametrize("small", [K.SMALL, 0])
+def test_chunked_columns_are_what_token_rows_give(spark, small, monkeypatch):
+    """In place and by a join: the six features, ties, labels that are none of the set's, empty and null sentences."""
+    monkeypatch.setattr(K, "SMALL", small)
+    rnd = random.Random(3)
+    lines = [[(rnd.choice(["the", "dog", "a b", ""]), rnd.choice(["DT", "NN", "NN", "VBD", "PPSS+BEZ", "FW-AT"])) for _ in range(rnd.choice([1, 2, 5, 9]))] for _ in range(60)]
+    df = spark.createDataFrame([*((i, s) for i, s in enumerate(lines)), (100, []), (101, None)], "s int, tagged array<struct<token:string,tag:string>>")
+    since = ["", "NN", "NN-NN", "FW-AT-NN", "VBD-NN", "AT-NN"]
+    weights = [(f"since={x}", rnd.choice(["NP", "VP", "ZZ"]), rnd.choice([0.5, 1.0, -0.25])) for x in since] + [("pos=NN", "NP", 0.5), ("pos=NN", "VP", 0.5), ("word=a b", "PP", 2.0), ("prevpos=START", "NP", 0.25), ("prevpos+pos=PPSS+BEZ+NN", "VP", 3.0), ("pos+nextpos=NN+END", "PP", 0.75), ("pos=VBD", "VP", 1.125)]
+    chunker = K.Chunker(spark.createDataFrame(weights, "feature string, class string, weight double"), T.CONLL)
+    rows = chunker.transform(df.select("s", F.posexplode("tagged").alias("pos", "t")).select("s", "pos", "t.token", "t.tag"), "s")
+    got = chunker.transform_column(df).cache()
+    assert got.filter("s >= 100").orderBy("s").select("chunked").collect() == [([],), (None,)]
+    some = got.filter("s < 100")
+    assert {r.s: r.chunked for r in some.collect()} == {r.s: r.chunked for r in K.column_of(rows, "s").collect()}
+    assert {r.s: r.t for r in some.select("s", K.column_brackets()(F.col("chunked")).alias("t")).collect()} == {r.s: r.text for r in K.brackets(rows, "s").collect()}
+    spans = some.select("s", F.explode(K.column_spans()(F.col("chunked"))).alias("x")).select("s", "x.*")
+    assert sorted(spans.collect()) == sorted(K.spans(rows, "s").drop("parent_id", "depth").collect())
