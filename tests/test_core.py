@@ -522,3 +522,21 @@ def test_chunked_columns_are_what_token_rows_give(spark, small, monkeypatch):
     assert {r.s: r.t for r in some.select("s", K.column_brackets()(F.col("chunked")).alias("t")).collect()} == {r.s: r.text for r in K.brackets(rows, "s").collect()}
     spans = some.select("s", F.explode(K.column_spans()(F.col("chunked"))).alias("x")).select("s", "x.*")
     assert sorted(spans.collect()) == sorted(K.spans(rows, "s").drop("parent_id", "depth").collect())
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_pairs_of_vectors_are_not_exchanged(spark, compat, monkeypatch):
+    """In parts and in small steps, the pairs of vectors are those of the join; zeros, ties of products and vectors of no length included."""
+    rnd = random.Random(5)
+    side = lambda n: spark.createDataFrame([(i, t, rnd.choice([0.0, 0.5, 1.0, -1.0])) for i in range(n) for t in rnd.sample("abcdefgh", rnd.choice([1, 3, 8]))], "vec_id int, term string, weight double").cache()
+    a, b = side(30), side(9)
+    monkeypatch.setattr(V, "HELD", 7)
+    monkeypatch.setattr(V, "CELLS", 5)
+    got = {ordered: [f(a, b, compat=compat, ordered=ordered) for f in (V.dot, V.cosine)] for ordered in (False, True)}
+    plan = got[False][0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "a_id" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+    monkeypatch.setattr(V, "BLOCKS", 0)
+    for ordered, some in got.items():
+        for f, df in zip((V.dot, V.cosine), some):
+            want = {tuple(r[:2]): r[2] for r in f(a, b, compat=compat, ordered=ordered).collect()}
+            assert {tuple(r[:2]): r[2] for r in df.collect()} == pytest.approx(want) and want
