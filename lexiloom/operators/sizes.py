@@ -10,10 +10,11 @@ SMALL = 1_000_000
 def sized(table: DataFrame, small: int = SMALL) -> DataFrame:
     """The table with a broadcast hint if it has at most ``small`` rows.
 
-    It is kept, so that counting it does not make it twice.
+    It is kept, so that counting it does not make it twice. The count is one of
+    all rows: a limit would move up to ``small`` rows of every partition to one task.
     """
     kept = table if table.is_cached else table.persist()
-    return F.broadcast(kept) if kept.limit(small + 1).count() <= small else kept
+    return F.broadcast(kept) if kept.count() <= small else kept
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

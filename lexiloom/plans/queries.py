@@ -16,6 +16,7 @@ from ..operators import extraction as E
 from ..operators import perceptron as P
 from ..operators import taggers as G
 from ..operators import vectors as V
+from ..operators.sizes import sized
 from ..sources import corpora as S
 from ..sources.tables import read
 
@@ -227,11 +228,14 @@ BOTH = VEC + f", bt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_i
 PAIRS = BOTH + ", dp AS (SELECT doc_id, item_id, sum(v.weight * bv.weight) AS dot, sum(DISTINCT round(v.weight * bv.weight, 9)) AS once FROM v JOIN bv USING (term) WHERE v.weight <> 0 AND bv.weight <> 0 GROUP BY ALL), vm AS (SELECT doc_id, sqrt(sum(weight * weight)) AS a FROM v GROUP BY doc_id), bm AS (SELECT item_id, sqrt(sum(weight * weight)) AS b FROM bv GROUP BY item_id)"
 
 
-def two_sides(spark, d):
-    """The vectors of documents and of benchmark items over the corpus of documents."""
+def two_sides(spark, d, shared: bool = False):
+    """The vectors of documents and of benchmark items over the corpus of documents; with ``shared`` the documents' only by the items' terms."""
     tf, df, n = tf_df(spark, d)
-    own = C.tf_idf(tf, df, n).withColumnRenamed("doc_id", "vec_id")
     items = C.term_freq(word_docs(spark, d, "benchmark", "item_id"))
+    if shared:
+        tf = tf.join(sized(items.select("term").distinct()), "term", "left_semi").select("doc_id", "term", "tf")
+        df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    own = C.tf_idf(tf, df, n).withColumnRenamed("doc_id", "vec_id")
     return own, C.tf_idf(items, df, n).withColumnRenamed("doc_id", "vec_id")
 
 
@@ -242,12 +246,12 @@ def _(spark, d):
 
 @query("dot_product", PAIRS + " SELECT doc_id, item_id, round(dot, 5) AS dot FROM dp")
 def _(spark, d):
-    return V.dot(*two_sides(spark, d), "doc_id", "item_id").withColumn("dot", F.round("dot", 5))
+    return V.dot(*two_sides(spark, d, True), "doc_id", "item_id").withColumn("dot", F.round("dot", 5))
 
 
 @query("dot_product_compat", PAIRS + " SELECT doc_id, item_id, round(once, 5) AS dot FROM dp")
 def _(spark, d):
-    return V.dot(*two_sides(spark, d), "doc_id", "item_id", compat=True).withColumn("dot", F.round("dot", 5))
+    return V.dot(*two_sides(spark, d, True), "doc_id", "item_id", compat=True).withColumn("dot", F.round("dot", 5))
 
 
 @query("cosine_pairs", PAIRS + " SELECT doc_id, item_id, round(coalesce(dot / nullif(a * b, 0), 0), 6) AS cosine FROM dp JOIN vm USING (doc_id) JOIN bm USING (item_id)")
@@ -257,7 +261,7 @@ def _(spark, d):
 
 @query("cosine_all_pairs", BOTH + ", bm AS (SELECT item_id, sqrt(sum(weight * weight)) AS m FROM bv GROUP BY item_id), p AS (SELECT x.item_id AS a_id, y.item_id AS b_id, sum(x.weight * y.weight) AS dot FROM bv x JOIN bv y ON x.term = y.term AND x.item_id < y.item_id WHERE x.weight <> 0 AND y.weight <> 0 GROUP BY ALL) SELECT a_id, b_id, round(coalesce(dot / nullif(x.m * y.m, 0), 0), 6) AS cosine FROM p JOIN bm x ON x.item_id = a_id JOIN bm y ON y.item_id = b_id")
 def _(spark, d):
-    items = two_sides(spark, d)[1]
+    items = two_sides(spark, d, True)[1]
     return V.cosine(items, items, ordered=True).withColumn("cosine", F.round("cosine", 6))
 
 
@@ -274,7 +278,7 @@ def _(spark, d):
 
 @query("vector_negate", BOTH + " SELECT item_id AS vec_id, term, round(-weight, 6) AS weight FROM bv")
 def _(spark, d):
-    return V.negate(two_sides(spark, d)[1]).withColumn("weight", F.round("weight", 6))
+    return V.negate(two_sides(spark, d, True)[1]).withColumn("weight", F.round("weight", 6))
 
 
 @query(

@@ -540,3 +540,14 @@ def test_pairs_of_vectors_are_not_exchanged(spark, compat, monkeypatch):
         for f, df in zip((V.dot, V.cosine), some):
             want = {tuple(r[:2]): r[2] for r in f(a, b, compat=compat, ordered=ordered).collect()}
             assert {tuple(r[:2]): r[2] for r in df.collect()} == pytest.approx(want) and want
+
+
+def test_counting_a_table_moves_no_rows_to_one_task(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from lexiloom.operators.sizes import sized
+
+    monkeypatch.setattr(DataFrame, "limit", lambda *_: pytest.fail("a limit gathers rows of all partitions"))
+    rows = spark.range(10)
+    assert "broadcast" in sized(rows, 10)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in sized(rows, 9)._jdf.queryExecution().logical().toString().lower()
